@@ -76,3 +76,64 @@ SELECT doc_id, size, n AS source_size, target,
        CAST(size * (whole + CASE WHEN part = 2 THEN 1 WHEN part = 0 THEN 0 WHEN fits OR (best = 1 AND miss IS NOT NULL AND miss < gap) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ranked
 """
+
+
+def _secret_kinds() -> list[str]:
+    """One list of {start, place, end, kind} per rule, as DuckDB expressions over `text`."""
+    from hippolake.llm.secrets import RULES
+
+    out = []
+    for place, rule in enumerate(RULES):
+        p = rule.pattern.replace("'", "''")
+        m, g, t = f"regexp_extract_all(text, '{p}')", f"string_split_regex(text, '{p}')", f"regexp_extract_all(text, '{p}', {rule.group})"
+        start = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+        out.append(
+            f"SELECT doc_id, row_id, {place} AS place, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, CAST({start} AS BIGINT) AS first, CAST({start} + length(m[i]) AS BIGINT) AS last, length(t[i]) >= {rule.at_least} AS counts "
+            f"FROM (SELECT doc_id, row_id, m, g, t, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, row_id, {m} AS m, {g} AS g, {t} AS t FROM texts))"
+        )
+    return out
+
+
+def secrets_sql() -> str:
+    spans = "\nUNION ALL ".join(_secret_kinds())
+    counts = ", ".join(f"count(s.doc_id) FILTER (s.kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))
+    written = "s.kind || ':' || s.first || ':' || s.last"
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row_id FROM documents),
+spans AS (SELECT * FROM ({spans}) WHERE counts)
+SELECT d.doc_id, {counts},
+       sha256(coalesce(string_agg({written}, ',' ORDER BY s.first, s.place) FILTER (s.base), '')) AS base_sha256,
+       coalesce(string_agg({written}, ',' ORDER BY s.first, s.place), '') AS spans
+FROM texts d LEFT JOIN spans s ON d.row_id = s.row_id
+GROUP BY d.row_id, d.doc_id
+"""
+
+
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) + 14 AS chars FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+TOPK_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
