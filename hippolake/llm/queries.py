@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hippolake.llm import chat, mixing, packing, quality, secrets, topk, url_filters
+from hippolake.llm import chat, fingerprints, mixing, packing, quality, secrets, topk, url_filters
 from hippolake.llm.sql import CHAT_SQL, MIXING_SQL, TOPK_SQL, URL_SQL, secrets_sql
 from hippolake.storage import table
 
@@ -39,6 +39,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(rows))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_topk": op3_exact_topk,
     "op4_url_filters": op4_url_filters,
     "op6_chat_format": op6_chat_format,
+    "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
     "op10_mixing": op10_mixing,
 }
