@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hippolake.llm import chat, fingerprints, mixing, packing, quality, secrets, topk, url_filters
+from hippolake.llm import chat, fingerprints, mixing, near_dups, packing, quality, secrets, topk, url_filters
 from hippolake.llm.sql import CHAT_SQL, MIXING_SQL, TOPK_SQL, URL_SQL, secrets_sql
 from hippolake.storage import table
 
@@ -49,6 +49,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.group(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": op6_chat_format,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
+    "op9_near_dups": op9_near_dups,
     "op10_mixing": op10_mixing,
 }
 
