@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hippolake.llm import chat, fingerprints, mixing, near_dups, packing, quality, secrets, topk, url_filters
+from hippolake.llm import chat, fingerprints, mixing, near_dups, packing, pii, quality, secrets, topk, url_filters
 from hippolake.llm.sql import CHAT_SQL, MIXING_SQL, TOPK_SQL, URL_SQL, secrets_sql
 from hippolake.storage import table
 
@@ -33,6 +33,14 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), url_filters.production_rules(spark))
 
 
+#: The key of the registered query; a deployment passes its own.
+PII_KEY = "registered-query"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
@@ -63,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_topk": op3_exact_topk,
     "op4_url_filters": op4_url_filters,
+    "op5_pii": op5_pii,
     "op6_chat_format": op6_chat_format,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
