@@ -181,21 +181,16 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
     return texts.withColumn("spans", F.array_sort(F.concat(*found))).drop("key", "kinds")
 
 
-def redact(scanned: DataFrame, mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced by `mark`; spans that overlap are replaced as one."""
-    merged = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["end"] <= acc["at"], acc
-        ).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out"),
-            )
-        ),
-    )
-    return F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(merged["out"], F.substr(F.col("text"), (merged["at"] + 1).cast("int"), F.length("text"))))
+def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """text with every span replaced by `mark`; spans that overlap are replaced as one."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
+        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+    whole = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
 def digest(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
