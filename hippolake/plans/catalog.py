@@ -46,7 +46,7 @@ ROLES = {
     "log": """
         SELECT event_id, ts, user_id AS fact_id, event_type, value, CAST(floor(value) AS BIGINT) % 100 AS points, user_id % 5 AS owner
         FROM {events}""",
-    "turns": "SELECT conv_id, turn, role, text, conv_id * 7200 + turn * (600 + 500 * (turn % 4)) AS at FROM {conversations}",
+    "turns": "SELECT conv_id, turn, role, text, conv_id * 7200 + turn * (600 + 500 * (turn % 4)) AS secs FROM {conversations}",
     "claims": """
         SELECT d.doc_id AS id, d.text, e.label AS entity, e.embedding, CAST(d.doc_id % 10 + 1 AS INT) AS importance,
                CAST(d.doc_id % 11 AS DOUBLE) / 10 AS confidence, CAST(d.doc_id % 13 AS INT) AS corroboration,
