@@ -7,7 +7,7 @@ adapts to how crowded a region is. Inside a region candidates are compared by si
 sketch of all values; what passes is confirmed on the full sets.
 
 Large groups of near copies would make very many pairs. So a first pass over a few trees links each
-text to one or two neighbours; once those links are confirmed and joined to components, a second
+text to one neighbour before it; once those links are confirmed and joined to components, a second
 pass over all trees compares only texts of different components, all of them. No number of partners
 or candidates is limited, and every link that counts was confirmed.
 
@@ -31,7 +31,7 @@ TREES, UNITS, START = 16, 8, 3
 VALUES = TREES * UNITS
 REGION_ROWS = 512
 #: Trees whose neighbours are linked before components are known.
-FIRST_TREES = 4
+FIRST_TREES = 3
 #: Equal 2-bit fields of 128 that a pair must have: five standard deviations below what 0.8 similar sets have on average.
 SKETCH_LEAST = 89
 
@@ -113,7 +113,11 @@ class _Region:
         return (differ <= VALUES - SKETCH_LEAST) & (100 * np.minimum(a, b) >= self.percent * np.maximum(a, b))
 
     def pairs(self, low: int, high: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """Candidate pairs among the rows low..high: all of different labels, or for each row one before and one after it."""
+        """Candidate pairs among the rows low..high, and whether they are to be linked in the first pass.
+
+        Every pair of different labels; or for each row one before it, to be linked, and one after it,
+        which only says that both have candidates.
+        """
         for at in range(low, high, 256):
             rows = np.arange(at, min(at + 256, high))
             for start in range(low if not every else at, high, 1024):
@@ -122,16 +126,16 @@ class _Region:
                 if every:
                     ok &= (others[None, :] > rows[:, None]) & (self.label[rows][:, None] != self.label[others][None, :])
                     i, j = np.nonzero(ok)
-                    yield rows[i], others[j]
+                    yield rows[i], others[j], True
                 else:
                     before, after = ok & (others[None, :] < rows[:, None]), ok & (others[None, :] > rows[:, None])
-                    for side in (before, after):  # the first in the region leads, so that links form stars
+                    for side, first in ((before, True), (after, False)):  # the first in the region leads, so that links form stars
                         hit = side.any(axis=1)
-                        yield rows[hit], others[side.argmax(axis=1)[hit]]
+                        yield rows[hit], others[side.argmax(axis=1)[hit]], first
 
 
 def _regions(percent: int, every: bool):
-    """Streams rows sorted by (tree, key); yields candidate pairs (a, b, tree) of nodes."""
+    """Streams rows sorted by (tree, key); yields candidate pairs (a, b, tree) of nodes, with tree TREES for those not to be linked first."""
 
     def split(r: _Region, low: int, high: int, depth: int) -> Iterator[tuple[int, int]]:
         if high - low < 2:
@@ -148,14 +152,15 @@ def _regions(percent: int, every: bool):
         r = _Region(table, percent)
         changes = (r.tree[1:] != r.tree[:-1]) | (r.key[1:, :START] != r.key[:-1, :START]).any(axis=1)
         edges = [0, *(np.flatnonzero(changes) + 1).tolist(), len(r.node)]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, np.ndarray, bool]] = []
         for a, b in zip(edges, edges[1:], strict=False):
             for low, high in split(r, a, b, START):
                 found += r.pairs(low, high, every)
-        i = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
-        j = np.concatenate([y for _, y in found]) if found else np.empty(0, np.int64)
+        i = np.concatenate([x for x, _, _ in found]) if found else np.empty(0, np.int64)
+        j = np.concatenate([y for _, y, _ in found]) if found else np.empty(0, np.int64)
+        linked = np.concatenate([np.full(len(x), f) for x, _, f in found]) if found else np.empty(0, bool)
         a, b = r.node[i], r.node[j]
-        made = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "tree": r.tree[i].astype(np.int32)}).group_by(["a", "b"]).aggregate([("tree", "min")])
+        made = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "tree": np.where(linked, r.tree[i], TREES).astype(np.int32)}).group_by(["a", "b"]).aggregate([("tree", "min")])
         yield from pa.table({"a": made.column("a"), "b": made.column("b"), "tree": made.column("tree_min")}).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,9 +188,9 @@ def _regions(percent: int, every: bool):
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets share at least percent of their union."""
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("of_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("of_b"))
-    met = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+    left = sets.select(F.col("node").alias("left_node"), F.col("members").alias("of_a"))
+    right = sets.select(F.col("node").alias("right_node"), F.col("members").alias("of_b"))
+    met = pairs.select("a", "b").distinct().join(left, F.col("a") == F.col("left_node")).join(right, F.col("b") == F.col("right_node"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     return met.withColumn("shared", shared).filter(100 * F.col("shared") >= percent * (F.size("of_a") + F.size("of_b") - F.col("shared"))).select("a", "b")
 
@@ -216,7 +221,8 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     near = materialize(in_order(entries).mapInArrow(_regions(percent, False), schema), "near")
     touched = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialize(nodes.join(touched, "node", "left_semi").select("node", "text_key", "n_shingles", "sketch", "trees"), "wanted")
-    held = texts.select("text_key", "text").join(wanted.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    # The wanted keys grow with the corpus, so they are not broadcast, however few they are in a small one.
+    held = texts.select("text_key", "text").join(wanted.select("text_key").hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
     sets = materialize(held.select("text").mapInArrow(_sets(width), "node long, members array<bigint>"), "sets")
 
     links = materialize(confirmed(near.filter(F.col("tree") < FIRST_TREES), sets, percent), "confirmed")
