@@ -37,7 +37,7 @@ def votes(texts: DataFrame, keys: list[str]) -> DataFrame:
 
     keys tell the rows apart. Where texts is already dealt by one of the keys, nothing is shuffled.
     """
-    each = texts.select(*keys, F.explode_outer(terms(F.col("text"))).alias("h0")).withColumn("h1", F.xxhash64("h0", F.lit(1)))
+    each = texts.select(*keys, F.explode_outer(terms(F.col("text"))).alias("h0")).withColumn("h1", F.when(F.col("h0").isNotNull(), F.xxhash64("h0", F.lit(1))))
     sums = [F.sum(F.shiftright(h, k).bitwiseAND(F.lit(_LANES))).alias(f"{h}_{k}") for h in ("h0", "h1") for k in range(32)]
     counted = each.groupBy(*keys).agg(F.count("h0").alias("n"), *sums)
 
