@@ -17,8 +17,6 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hippolake.llm.text import ascii_lower
-
 
 def either_case(word: str) -> str:
     """word with each ASCII letter in either case; other characters, which case folding could add, don't match."""
@@ -91,6 +89,15 @@ def _sequence_strings(nodes) -> set[str] | None:
     return found
 
 
+#: A clause asks for this many of its string's trigrams, those with the fewest common letters. More would only narrow the candidates.
+CLAUSE_GRAMS = 2
+COMMON_LETTERS = " \"'etaoinshrdlu"
+
+
+def _rarest(grams: set[str]) -> frozenset[str]:
+    return frozenset(sorted(grams, key=lambda g: (sum(c in COMMON_LETTERS for c in g), g))[:CLAUSE_GRAMS])
+
+
 def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     """AND over runs of OR over clauses of AND over trigrams; empty if the pattern asks for none."""
     runs: list[set[str]] = []
@@ -115,7 +122,7 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     end()
     query = []
     for run in runs:
-        clauses = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in run}
+        clauses = {_rarest({s[i : i + 3] for i in range(len(s) - 2)}) for s in run}
         if all(clauses):  # a string under three characters asks for nothing, so neither does its run
             query.append(sorted((c for c in clauses if not any(d < c for d in clauses)), key=sorted))
     return query
@@ -123,8 +130,8 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
 def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
     """(gram, key) for each of `grams` in each text of (key, text); each pair once."""
-    low = ascii_lower(F.col("text"))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
+    found = lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
+    held = F.flatten(F.transform(F.array(F.lower("text")), found))  # lowered once, not for each trigram
     return texts.select("key", F.explode(held).alias("gram")).distinct()
 
 
