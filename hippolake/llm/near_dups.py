@@ -7,9 +7,12 @@ adapts to how crowded a region is. Inside a region candidates are compared by si
 sketch of all values; what passes is confirmed on the full sets.
 
 Large groups of near copies would make very many pairs. So a first pass over a few trees links each
-text to one neighbour before it; once those links are confirmed and joined to components, a second
-pass over all trees compares only texts of different components, all of them. No number of partners
-or candidates is limited, and every link that counts was confirmed.
+text to one neighbour before it. Those links are confirmed and joined to components; a second pass
+over all trees links each text to one of another component, and those are confirmed and joined too.
+The last pass compares all texts of different components in all regions. No number of partners or
+candidates is limited there, and every link that counts was confirmed. In the later passes a profile
+of each set (how many of its hashes fall in each of PROFILE cells) bounds what two sets can share
+from above, so pairs that the sketch leaves but that can't be similar enough aren't joined to their sets.
 
 Texts with equal sets are one node (by a 64-bit sum over the set), whatever their number.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hippolake.llm.components import components
-from hippolake.llm.text import WordHashes, mix64, shingle_hashes, words_of
+from hippolake.llm.text import WORD_HASHES, mix64, shingle_hashes, words_of
 from hippolake.storage import materialize
 
 TREES, UNITS, START = 16, 8, 3
@@ -32,19 +35,20 @@ VALUES = TREES * UNITS
 REGION_ROWS = 512
 #: Trees whose neighbours are linked before components are known.
 FIRST_TREES = 3
+#: Cells of a set's profile, a byte each; a fuller cell counts as bounding nothing.
+PROFILE = 1024
 #: Equal 2-bit fields of 128 that a pair must have: five standard deviations below what 0.8 similar sets have on average.
 SKETCH_LEAST = 89
 
 _rng = np.random.default_rng(11)
 _XOR = _rng.integers(0, 1 << 64, VALUES, np.uint64)
 _ODD = _rng.integers(0, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
-_hashes = WordHashes()
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; empty without words."""
     words = words_of(text)
-    return shingle_hashes(_hashes.of(words), width) if words else np.empty(0, np.uint64)
+    return shingle_hashes(WORD_HASHES.of(words), width) if words else np.empty(0, np.uint64)
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -80,13 +84,24 @@ def _marks(width: int):
     return run
 
 
+def profile(found: np.ndarray) -> bytes:
+    """Hashes of the set per cell, 255 for that many or more."""
+    return np.minimum(np.bincount((found >> np.uint64(40)).astype(np.int64) % PROFILE, minlength=PROFILE), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """An upper bound of what the sets with profiles a and b (rows) share; without bound if a cell of both is full."""
+    least = np.minimum(a, b)
+    return np.where((least == 255).any(axis=1), np.int64(1) << 40, least.sum(axis=1, dtype=np.int64))
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t.as_py(), width).view(np.int64) for t in batch.column("text")]
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(f.view(np.uint64)) for f in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(f.view(np.uint64)) for f in found], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([profile(f.view(np.uint64)) for f in found], pa.binary())], ["node", "members", "profile"])
 
     return run
 
@@ -103,6 +118,7 @@ class _Region:
         self.size = column("n_shingles").to_numpy()
         self.key, self.sketch = raw("key", ">u2"), raw("sketch", "<u8")
         self.label = column("label").to_numpy() if "label" in table.column_names else None
+        self.profile = raw("profile", np.uint8) if "profile" in table.column_names else None
         self.percent = percent
 
     def alike(self, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -112,29 +128,46 @@ class _Region:
         a, b = self.size[rows][:, None], self.size[others][None, :]
         return (differ <= VALUES - SKETCH_LEAST) & (100 * np.minimum(a, b) >= self.percent * np.maximum(a, b))
 
-    def pairs(self, low: int, high: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """Candidate pairs among the rows low..high, and whether they are to be linked in the first pass.
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs may reach the share by their profiles."""
+        ok = np.empty(len(i), bool)
+        for at in range(0, len(i), 4096):
+            x, y = i[at : at + 4096], j[at : at + 4096]
+            shared = np.minimum(most_shared(self.profile[x], self.profile[y]), np.minimum(self.size[x], self.size[y]))
+            ok[at : at + 4096] = 100 * shared >= self.percent * (self.size[x] + self.size[y] - shared)
+        return ok
 
-        Every pair of different labels; or for each row one before it, to be linked, and one after it,
-        which only says that both have candidates.
+    def pairs(self, low: int, high: int, how: str) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Candidate pairs among the rows low..high, and whether they are to be linked.
+
+        first: for each row one before it, to be linked, and one after it, which only says that both
+        have candidates. other: for each row one of another label. all: every pair of different labels.
         """
         for at in range(low, high, 256):
             rows = np.arange(at, min(at + 256, high))
-            for start in range(low if not every else at, high, 1024):
+            for start in range(at if how == "all" else low, high, 1024):
                 others = np.arange(start, min(start + 1024, high))
                 ok = self.alike(rows, others)
-                if every:
-                    ok &= (others[None, :] > rows[:, None]) & (self.label[rows][:, None] != self.label[others][None, :])
-                    i, j = np.nonzero(ok)
-                    yield rows[i], others[j], True
-                else:
+                if how == "first":
                     before, after = ok & (others[None, :] < rows[:, None]), ok & (others[None, :] > rows[:, None])
                     for side, first in ((before, True), (after, False)):  # the first in the region leads, so that links form stars
                         hit = side.any(axis=1)
                         yield rows[hit], others[side.argmax(axis=1)[hit]], first
-
-
-def _regions(percent: int, every: bool):
+                    continue
+                ok &= self.label[rows][:, None] != self.label[others][None, :]
+                if how == "all":
+                    ok &= others[None, :] > rows[:, None]
+                i, j = np.nonzero(ok)
+                i, j = rows[i], others[j]
+                kept = self.possible(i, j)
+                i, j = i[kept], j[kept]
+                if how == "other":
+                    i, first = np.unique(i, return_index=True)
+                    j = j[first]
+                yield i, j, True
+
+
+def _regions(percent: int, how: str):
     """Streams rows sorted by (tree, key); yields candidate pairs (a, b, tree) of nodes, with tree TREES for those not to be linked first."""
 
     def split(r: _Region, low: int, high: int, depth: int) -> Iterator[tuple[int, int]]:
@@ -155,7 +188,7 @@ def _regions(percent: int, every: bool):
         found: list[tuple[np.ndarray, np.ndarray, bool]] = []
         for a, b in zip(edges, edges[1:], strict=False):
             for low, high in split(r, a, b, START):
-                found += r.pairs(low, high, every)
+                found += r.pairs(low, high, how)
         i = np.concatenate([x for x, _, _ in found]) if found else np.empty(0, np.int64)
         j = np.concatenate([y for _, y, _ in found]) if found else np.empty(0, np.int64)
         linked = np.concatenate([np.full(len(x), f) for x, _, f in found]) if found else np.empty(0, bool)
@@ -218,23 +251,30 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     in_order = lambda df: df.repartition("tree", F.substr("key", F.lit(1), F.lit(2 * START))).sortWithinPartitions("tree", "key", "node")
     schema = "a long, b long, tree int"
 
-    near = materialize(in_order(entries).mapInArrow(_regions(percent, False), schema), "near")
+    near = materialize(in_order(entries).mapInArrow(_regions(percent, "first"), schema), "near")
     touched = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialize(nodes.join(touched, "node", "left_semi").select("node", "text_key", "n_shingles", "sketch", "trees"), "wanted")
     # The wanted keys grow with the corpus, so they are not broadcast, however few they are in a small one.
     held = texts.select("text_key", "text").join(wanted.select("text_key").hint("merge"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-    sets = materialize(held.select("text").mapInArrow(_sets(width), "node long, members array<bigint>"), "sets")
+    sets = materialize(held.select("text").mapInArrow(_sets(width), "node long, members array<bigint>, profile binary"), "sets")
 
     links = materialize(confirmed(near.filter(F.col("tree") < FIRST_TREES), sets, percent), "confirmed")
     labels = components(links)
-    again = entries.join(wanted.select("node"), "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # Regions within one component have nothing more to say.
+    profiles = sets.select("node", "profile")
+    keyed = entries.join(profiles, "node")
     region = [F.col("tree"), F.substr("key", F.lit(1), F.lit(2 * START))]
-    mixed = again.groupBy(region[0].alias("t"), region[1].alias("k")).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    again = again.join(mixed, (region[0] == F.col("t")) & (region[1] == F.col("k")), "left_semi")
-    rest = materialize(in_order(again).mapInArrow(_regions(percent, True), schema), "rest")
-    links = links.unionByName(confirmed(rest, sets, percent))
-    labels = materialize(components(links), "labels")
+    for how in ("other", "all"):
+        again = keyed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # Regions within one component have nothing more to say.
+        bare = entries.join(profiles.select("node"), "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = bare.groupBy(region[0].alias("t"), region[1].alias("k")).agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("t", "k")
+        again = again.join(mixed, (region[0] == F.col("t")) & (region[1] == F.col("k")), "left_semi")
+        # Written down first: the planner drops a repartition that a join just made, and adaptive execution may then
+        # undo the join's own exchange, which would tear regions apart.
+        again = materialize(again, "again")
+        found = materialize(in_order(again).mapInArrow(_regions(percent, how), schema), how)
+        links = materialize(links.unionByName(confirmed(found, sets, percent)), "confirmed")
+        labels = materialize(components(links), "labels")
 
     first = labels.join(nodes.select("node", "first_id"), "node").groupBy("label").agg(F.min("first_id").alias("component"))
     of_node = labels.join(first, "label").select(F.col("node").alias("set_key"), "component")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hippolake.llm.text import WordHashes
+from hippolake.llm.text import WORD_HASHES
 
 #: At most so many rows of each kind are fitted on, the first by a hash of their id.
 FIT_POSITIVES, FIT_UNLABELLED = 10_000, 20_000
@@ -35,8 +35,6 @@ for _name, _members in enumerate((b" ", b"\n", b"\t\r\v\f", b"abcdefghijklmnopqr
 N_CLASSES = 14
 N_FEATURES = N_CLASSES + 9
 
-_hashes = WordHashes()
-
 
 def _stretches(data: bytes) -> Iterator[bytes]:
     """data cut at blanks into stretches of about STRETCH bytes."""
@@ -61,7 +59,7 @@ def features(text: str | None) -> np.ndarray:
         found = part.split()
         if not found:
             continue
-        h = _hashes.of(found)
+        h = WORD_HASHES.of(found)
         same += int((h[1:] == h[:-1]).sum()) + (last == h[0])
         last = h[-1]
         whole = len(h) // WINDOW * WINDOW

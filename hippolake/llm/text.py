@@ -27,7 +27,7 @@ def word_count(text: Column) -> Column:
 class WordHashes(dict):
     """64-bit hash of a word, computed once per distinct word and process; bounded by `limit` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -41,6 +41,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One per process, whichever operators run in it.
+WORD_HASHES = WordHashes()
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words; bytes.split and bytes.lower know exactly the ASCII blanks and letters."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
