@@ -47,7 +47,7 @@ class SegmentIds:
     tokenizers itself.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 100_000):
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
