@@ -114,7 +114,12 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     inside = inside.withColumn("miss", F.when(~F.col("taken"), F.abs(gap - F.col("size"))).otherwise(None)).withColumn("gap", gap)
     best = F.row_number().over(W.partitionBy("source").orderBy(F.col("miss").asc_nulls_last(), "turn")) == 1
     inside = inside.withColumn("extra", best & F.col("miss").isNotNull() & (F.col("miss") < F.col("gap")))
-    drawn = materialize(inside.filter("taken or extra").groupBy("source", "doc_id", "size", "order_key").agg(F.count("*").alias("n")), "edge")
+    # Those that fit are the first by their key, so a source's draw is a key up to which all are drawn, how many rows
+    # have that key and are drawn, and the same of the extra one.
+    key = F.struct("order_key", "doc_id", "size")
+    inside = inside.withColumn("cut", F.max(F.when(F.col("taken"), key)).over(W.partitionBy("source"))).withColumn("best", F.max(F.when(F.col("extra"), key)).over(W.partitionBy("source")))
+    drawn = inside.filter("taken or extra").groupBy("source").agg(F.first("cut").alias("cut"), F.count_if(key == F.col("cut")).alias("n_cut"), F.first("best").alias("best"), F.count_if(key == F.col("best")).alias("n_best"))
+    drawn = materialize(drawn.select(F.col("source").alias("ds"), "cut", "n_cut", "best", "n_best"), "edge")
 
     # Units dealt to shards: one for each time that a block is drawn.
     times = (F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")
@@ -129,18 +134,17 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     block_shards = F.when(times > 0, F.transform(F.sequence(F.lit(0), F.greatest(times - 1, F.lit(0))), in_shard)).otherwise(F.array().cast("array<int>"))
     units = units.select(F.col("source").alias("us"), F.col("block").alias("ub"), "part", block_shards.alias("block_shards"))
 
-    out = placed.join(units, placed["source"].eqNullSafe(units["us"]) & (placed["block"] == units["ub"])).drop("us", "ub")
-    # Equal rows of an edge block are told apart by their number, so that as many are drawn as fit.
-    edge_rows = drawn.select(F.col("source").alias("es"), F.col("doc_id").alias("ei"), F.col("size").alias("ez"), F.col("order_key").alias("ek"), F.col("n").alias("drawn"))
-    inside_edge = out.filter("part = 1")
-    twin = F.row_number().over(W.partitionBy("source", "doc_id", "size", "order_key").orderBy(F.lit(1)))
-    inside_edge = inside_edge.withColumn("twin", twin).join(
-        edge_rows,
-        inside_edge["source"].eqNullSafe(edge_rows["es"]) & inside_edge["doc_id"].eqNullSafe(edge_rows["ei"]) & (inside_edge["size"] == edge_rows["ez"]) & (inside_edge["order_key"] == edge_rows["ek"]),
-        "left",
-    )
-    inside_edge = inside_edge.withColumn("more", (F.col("twin") <= F.coalesce(F.col("drawn"), F.lit(0))).cast("int")).drop("twin", "drawn", "es", "ei", "ez", "ek")
-    out = out.filter("part <> 1").withColumn("more", F.when(F.col("part") == 2, 1).otherwise(0)).unionByName(inside_edge)
+    units = units.join(drawn, units["us"].eqNullSafe(drawn["ds"]) & (F.col("part") == 1), "left").drop("ds")
+    # Joined on plain columns, so that the window below finds its rows together already; the documents are dealt once.
+    units = units.select(F.col("us").isNull().alias("un"), F.coalesce("us", F.lit("")).alias("uk"), "ub", "part", "block_shards", "cut", "n_cut", "best", "n_best")
+    placed = placed.withColumn("none", F.col("source").isNull()).withColumn("named", F.coalesce("source", F.lit("")))
+    out = placed.join(units, (placed["none"] == units["un"]) & (placed["named"] == units["uk"]) & (placed["block"] == units["ub"])).drop("un", "uk", "ub")
+    # Equal rows are told apart by their number, so that as many are drawn as fit.
+    twin = F.row_number().over(W.partitionBy("none", "named", "block", "order_key", "doc_id", "size").orderBy(F.lit(1)))
+    out = out.withColumn("twin", twin)
+    fits = (key < F.col("cut")) | ((key == F.col("cut")) & (F.col("twin") <= F.col("n_cut"))) | ((key == F.col("best")) & (F.col("twin") <= F.col("n_best")))
+    out = out.withColumn("more", F.when(F.col("part") == 2, 1).when((F.col("part") == 1) & F.coalesce(fits, F.lit(False)), 1).otherwise(0))
+    out = out.drop("twin", "none", "named", "cut", "n_cut", "best", "n_best")
     return out.withColumn("copies", F.col("whole") + F.col("more")).withColumn("shards", F.slice("block_shards", F.lit(1), F.col("copies"))).drop("part", "more", "block_shards", "whole", "rest", "blocks")
 
 
