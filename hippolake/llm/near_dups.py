@@ -9,8 +9,8 @@ sketch of all values; what passes is confirmed on the full sets.
 Large groups of near copies would make very many pairs. So a first pass over a few trees links each
 text to one neighbour before it. Those links are confirmed and joined to components; a second pass
 over all trees links each text to one of another component, and those are confirmed and joined too.
-The last pass compares all texts of different components in all regions. No number of partners or
-candidates is limited there, and every link that counts was confirmed. In the later passes a profile
+The last pass compares all texts of different components that share START values, so crowded regions
+are not divided there, and no number of partners or candidates is limited. Every link that counts was confirmed. In the later passes a profile
 of each set (how many of its hashes fall in each of PROFILE cells) bounds what two sets can share
 from above, so pairs that the sketch leaves but that can't be similar enough aren't joined to their sets.
 
@@ -33,6 +33,8 @@ from hippolake.storage import materialize
 TREES, UNITS, START = 16, 8, 3
 VALUES = TREES * UNITS
 REGION_ROWS = 512
+#: Candidate pairs that a worker gathers before it hands them on.
+HELD_PAIRS = 1_000_000
 #: Trees whose neighbours are linked before components are known.
 FIRST_TREES = 3
 #: Cells of a set's profile, a byte each; a fuller cell counts as bounding nothing.
@@ -141,11 +143,11 @@ class _Region:
         """Candidate pairs among the rows low..high, and whether they are to be linked.
 
         first: for each row one before it, to be linked, and one after it, which only says that both
-        have candidates. other: for each row one of another label. all: every pair of different labels.
+        have candidates. other: for each row one of another label.
         """
         for at in range(low, high, 256):
             rows = np.arange(at, min(at + 256, high))
-            for start in range(at if how == "all" else low, high, 1024):
+            for start in range(low, high, 1024):
                 others = np.arange(start, min(start + 1024, high))
                 ok = self.alike(rows, others)
                 if how == "first":
@@ -155,16 +157,37 @@ class _Region:
                         yield rows[hit], others[side.argmax(axis=1)[hit]], first
                     continue
                 ok &= self.label[rows][:, None] != self.label[others][None, :]
-                if how == "all":
-                    ok &= others[None, :] > rows[:, None]
                 i, j = np.nonzero(ok)
                 i, j = rows[i], others[j]
                 kept = self.possible(i, j)
-                i, j = i[kept], j[kept]
-                if how == "other":
-                    i, first = np.unique(i, return_index=True)
-                    j = j[first]
-                yield i, j, True
+                i, first = np.unique(i[kept], return_index=True)
+                yield i, j[kept][first], True
+
+    def across(self, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Every pair of different labels among the rows low..high that size, sketch and profile leave.
+
+        Rows go label by label, and labels by their smallest set: what has one label isn't compared
+        with itself, and rows of one block have sizes close to each other.
+        """
+        names, which = np.unique(self.label[low:high], return_inverse=True)
+        least = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, self.size[low:high])
+        rank = np.empty(len(names), np.int64)
+        rank[np.lexsort((names, least))] = np.arange(len(names))
+        place = rank[which]
+        order = np.lexsort((self.size[low:high], place))
+        place, order = place[order], order + low
+        size = self.size[order]
+        for at in range(0, len(order), 256):
+            rows, held = order[at : at + 256], size[at : at + 256]
+            after = np.arange(np.searchsorted(place, place[at], side="right"), len(order))
+            after = after[(100 * size[after] >= self.percent * held.min()) & (self.percent * size[after] <= 100 * held.max())]
+            for start in range(0, len(after), 1024):
+                others = after[start : start + 1024]
+                i, j = np.nonzero(self.alike(rows, order[others]) & (place[at : at + 256][:, None] < place[others][None, :]))
+                i, j = rows[i], order[others[j]]
+                kept = self.possible(i, j)
+                yield i[kept], j[kept], True
 
 
 def _regions(percent: int, how: str):
@@ -186,9 +209,19 @@ def _regions(percent: int, how: str):
         changes = (r.tree[1:] != r.tree[:-1]) | (r.key[1:, :START] != r.key[:-1, :START]).any(axis=1)
         edges = [0, *(np.flatnonzero(changes) + 1).tolist(), len(r.node)]
         found: list[tuple[np.ndarray, np.ndarray, bool]] = []
+        held = 0
         for a, b in zip(edges, edges[1:], strict=False):
-            for low, high in split(r, a, b, START):
-                found += r.pairs(low, high, how)
+            # Labels of different parts of a crowded region may belong together, so the last pass doesn't divide it.
+            for low, high in [(a, b)] if how == "all" else split(r, a, b, START):
+                for some in r.across(low, high) if how == "all" else r.pairs(low, high, how):
+                    found.append(some)
+                    held += len(some[0])
+                    if held >= HELD_PAIRS:
+                        yield from told(r, found)
+                        found, held = [], 0
+        yield from told(r, found)
+
+    def told(r: _Region, found: list[tuple[np.ndarray, np.ndarray, bool]]) -> Iterator[pa.RecordBatch]:
         i = np.concatenate([x for x, _, _ in found]) if found else np.empty(0, np.int64)
         j = np.concatenate([y for _, y, _ in found]) if found else np.empty(0, np.int64)
         linked = np.concatenate([np.full(len(x), f) for x, _, f in found]) if found else np.empty(0, bool)
