@@ -46,6 +46,45 @@ def signatures(vectors: DataFrame, tables: int, bits: int, dims: int, *, id_col:
     return vectors.select(F.col(id_col), F.posexplode(sign(vector_col)).alias("table", "signature"))
 
 
+#: Rows of a block whose pairs are multiplied at once.
+BLOCK_ROWS = 1024
+
+
+def cosine_pairs(vectors: DataFrame, least: float, *, id_col: str, vector_col: str) -> DataFrame:
+    """a, b, cosine: every pair of ids a < b whose vectors have at least this cosine (above 0).
+
+    Each two blocks of rows meet in one group and are multiplied there. That is all pairs, so it is
+    for thresholds at which buckets don't narrow the search.
+    """
+    rows = vectors.filter(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = rows.withColumn("block", block).withColumn("other", other).select("id", "v", F.size("v").alias("dims"), "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+    def run(key, table):
+        import pyarrow as pa
+
+        dims, p, q = (k.as_py() for k in key)
+        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        a, b, found = [], [], []
+        for at in range(0, len(left), BLOCK_ROWS):
+            some = left[at : at + BLOCK_ROWS]
+            cosines = x[some] @ x[right].T
+            i, j = np.nonzero(cosines >= least)
+            c, i, j = cosines[i, j], ids[some[i]], ids[right[j]]
+            kept = i < j if p == q else i != j
+            a.append(np.minimum(i, j)[kept]), b.append(np.maximum(i, j)[kept]), found.append(c[kept])
+        together = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
+        return pa.table({"a": together(a, np.int64), "b": together(b, np.int64), "cosine": together(found, np.float64)})
+
+    return met.groupBy("dims", "p", "q").applyInArrow(run, "a long, b long, cosine double")
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
