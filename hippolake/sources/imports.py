@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,33 +112,6 @@ def graph_jsonl(files: DataFrame) -> DataFrame:
     return observed.select("id", F.lit("entity").alias("kind"), contextualised(F.col("name"), F.col("o")).alias("text")).unionByName(relations.select("id", F.lit("relation").alias("kind"), F.concat_ws(" ", "source", words, "target").alias("text")))
 
 
-def _thread(parents: dict, leaves: list, current: str | None) -> list:
-    """Node ids from the root to current or, if that is unknown, to the deepest leaf; a walk ends at a node it has seen."""
-    if not current or current not in parents:
-        depth: dict = {}
-        for leaf in leaves:
-            trail: dict = {}
-            at = leaf
-            while at and at in parents and at not in depth and at not in trail:
-                trail[at] = len(trail)
-                at = parents[at]
-            below = depth.get(at, 0)
-            walked = list(trail)
-            if at in trail:  # all nodes of a cycle walk round it once
-                walked, cycle = walked[: trail[at]], walked[trail[at] :]
-                below = len(cycle)
-                depth.update(dict.fromkeys(cycle, below))
-            for node in reversed(walked):
-                below += 1
-                depth[node] = below
-        current = max(leaves, key=lambda leaf: depth.get(leaf, 0), default=None)  # the first of equals
-    seen: dict = {}
-    while current and current in parents and current not in seen:
-        seen[current] = True
-        current = parents[current]
-    return list(seen)[::-1]
-
-
 def conversation_tree(files: DataFrame) -> DataFrame:
     """id, position, role, text: the thread a user sees in an exported chat, from its current node up to the root.
 
@@ -150,19 +122,24 @@ def conversation_tree(files: DataFrame) -> DataFrame:
     tree = F.from_json("content", f"struct<current_node:string,mapping:map<string,{node}>>")
     rows = files.select("id", tree.alias("t")).filter("t.mapping is not null").select("id", F.map_keys("t.mapping").alias("names"), F.map_values("t.mapping").alias("nodes"), F.col("t.current_node").alias("current"))
 
-    @F.pandas_udf("array<int>")
-    def walk(names: pd.Series, parents: pd.Series, bare: pd.Series, current: pd.Series) -> pd.Series:
-        found = []
-        for n, p, b, c in zip(names, parents, bare, current, strict=True):
-            places = {name: at for at, name in reversed(list(enumerate(n)))}
-            held = {name: p[at] for name, at in places.items()}
-            found.append([places[name] for name in _thread(held, [name for name, leaf in zip(n, b, strict=True) if leaf], c)])
-        return pd.Series(found, dtype=object)
-
-    parents = F.transform("nodes", lambda x: x["parent"])
-    bare = F.transform("nodes", lambda x: F.coalesce(F.size(x["children"]), F.lit(0)) <= 0)
-    walked = rows.withColumn("path", walk("names", parents, bare, "current"))
-    path = walked.select("id", F.posexplode(F.transform("path", lambda at: F.get("nodes", at)["message"])).alias("position", "message"))
+    place = lambda name: F.coalesce(F.array_position("names", name), F.lit(0)).cast("int")  # noqa: E731  (from 1; 0 is none)
+    parents = F.transform("nodes", lambda x: place(x["parent"]))
+
+    def chain(leaf: Column) -> Column:
+        def up(acc: Column, _: Column) -> Column:
+            at = F.get(acc["parents"], F.element_at(acc["path"], -1) - 1)
+            goes = (at > 0) & ~F.array_contains(acc["path"], at)
+            return F.struct(acc["parents"].alias("parents"), F.when(goes, F.concat(acc["path"], F.array(at))).otherwise(acc["path"]).alias("path"))
+
+        # The parents travel in the fold, so that they are found once and not at each step.
+        start = F.struct(parents.alias("parents"), F.array(leaf).alias("path"))
+        return F.reverse(F.aggregate(F.sequence(F.lit(1), F.size("names")), start, up, lambda acc: acc["path"]))
+
+    bare = F.transform("nodes", lambda x, i: F.when(F.coalesce(F.size(x["children"]), F.lit(0)) <= 0, i + 1))
+    deepest = F.aggregate(F.transform(F.array_compact(bare), chain), F.array().cast("array<int>"), lambda acc, c: F.when(F.size(c) > F.size(acc), c).otherwise(acc))
+    current = place(F.col("current"))
+    thread = F.when(F.size("names") == 0, F.array().cast("array<int>")).when(current > 0, chain(current)).otherwise(deepest)
+    path = rows.select("id", F.posexplode(F.transform(thread, lambda at: F.get("nodes", at - 1)["message"])).alias("position", "message"))
     out = path.select("id", "position", F.col("message.author.role").alias("role"), F.array_join("message.content.parts", "\n").alias("text"))
     return out.filter(F.col("role").isin("user", "assistant") & (F.length("text") >= 3))
 
