@@ -17,6 +17,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hippolake.functions.arrays import once, scan as fold
+
 
 def either_case(word: str) -> str:
     """word with each ASCII letter in either case; other characters, which case folding could add, don't match."""
@@ -145,6 +147,9 @@ def candidates(index: DataFrame, queries: dict[str, list[list[frozenset[str]]]])
     return met.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
+SPAN = "struct<start:bigint,place:int,end:bigint,kind:string>"
+
+
 def rule_spans(text: Column, rule: Rule, place: int) -> Column:
     """array<struct<start, place, end, kind>> of the rule's matches, in code points.
 
@@ -154,16 +159,13 @@ def rule_spans(text: Column, rule: Rule, place: int) -> Column:
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, rule.pattern, -1)
     sized = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, hit: F.struct(F.length(gap).cast("long").alias("gap"), F.length(hit).cast("long").alias("length"), (F.length(F.regexp_extract(hit, rule.pattern, rule.group)) >= rule.at_least).alias("counts")))
-    none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
 
-    def step(acc: Column, one: Column) -> Column:
-        start = acc["at"] + one["gap"]
+    def step(at: Column, one: Column) -> tuple[Column, Column]:
+        start = at + one["gap"]
         end = start + one["length"]
-        span = F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(one["counts"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return end, F.when(one["counts"], F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind")))
 
-    all_ = F.aggregate(sized, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.rlike(text, pattern), all_).otherwise(none)
+    return F.when(F.rlike(text, pattern), fold(sized, F.lit(0).cast("long"), step, SPAN)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
@@ -173,6 +175,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
     the leftmost matches that don't overlap, without those that are too short. Null texts are taken
     as empty. Copies of a text are indexed once, and found in each row. Other columns of docs are not
     read unless named in `keep`; those come back in the struct `row`. An empty table gives no rows.
+    Texts of any length are scanned whole, in time in proportion to their length and their matches.
     """
     row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *row).withColumn("key", F.unhex(F.md5("text")))
@@ -183,21 +186,36 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rul
         texts = texts.join(candidates(index, queries), "key", "left")
     else:
         texts = texts.withColumn("kinds", F.lit(None).cast("array<string>"))
-    none = F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     found = [F.when(F.array_contains("kinds", r.kind), rule_spans(F.col("text"), r, i)).otherwise(none) if r.kind in queries else rule_spans(F.col("text"), r, i) for i, r in enumerate(rules)]
     return texts.withColumn("spans", F.array_sort(F.concat(*found))).drop("key", "kinds")
 
 
+#: Characters of a text's pieces, from which parts are cut without going through all that stands before them.
+PIECE = 2048
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters start..end of the text whose pieces are given."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    piece = lambda i: F.get(pieces, i)
+    inside = (start - first.cast("long") * PIECE).cast("int") + 1
+    tail = F.substr(piece(last), F.lit(1), (end - last.cast("long") * PIECE).cast("int"))
+    between = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(end <= start, F.lit("")).when(first == last, F.substr(piece(first), inside, (end - start).cast("int"))).otherwise(F.concat(F.substr(piece(first), inside, F.lit(PIECE)), between, tail))
+
+
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every span replaced by `mark`; spans that overlap are replaced as one."""
+    """text with every span replaced by `mark`; spans that overlap are replaced as one. Linear in the text and its spans."""
+
+    def made(pieces: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.concat(_cut(pieces, at, s["start"]), F.lit(mark)))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        last = F.aggregate(spans, F.lit(0).cast("long"), lambda at, s: F.greatest(at, s["end"]))
+        return F.concat(F.array_join(fold(spans, F.lit(0).cast("long"), step, "string"), ""), _cut(pieces, last, F.length(text).cast("long")))
 
-    whole = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+    return F.when(F.size(spans) == 0, text).otherwise(once(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)), made))
 
 
 def digest(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
