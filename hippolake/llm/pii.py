@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hippolake.functions.arrays import once as _once
+from hippolake.functions.arrays import scan
+
 ROUNDS = 8
 
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
@@ -51,11 +54,6 @@ def feistel(key: str, kind: str, a: Column, b: Column, a_size: int, b_size: int)
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
 
 
-def _once(value: Column, make) -> Column:
-    """make(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), make), 1)
-
-
 def permute_digits(key: str, kind: str, digits: Column, n: int) -> Column:
     """A permutation of the strings of n digits."""
     left, right = n // 2, n - n // 2
@@ -138,13 +136,18 @@ def pseudonym(key: str, kind: Column, hit: Column) -> Column:
     return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", _fill(hit, card)).when(kind == "ip", ip).when(kind == "ssn", ssn).when(kind == "date", date).otherwise(hit)
 
 
+HIT = "struct<kind:string,start:bigint,end:bigint,pseudonym:string>"
+
+
 def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, text with pseudonyms, hits.
 
     hits: array<struct<kind, start, end, pseudonym>> by position in the original text, in code points,
     end exclusive. Numbers that fail their check, such as card numbers with a wrong check digit, are
     left as they are. Null texts stay null, with no hits; texts without personal data come back
-    unchanged. Other columns of docs are not read; an empty table gives no rows.
+    unchanged. Other columns of docs are not read; an empty table gives no rows. Repeated rows come back
+    as often as they occur, with equal pseudonyms. Texts of any length are read whole, in time in
+    proportion to their length and their hits.
     """
     text = F.col("text")
     raw = F.when(text.rlike(ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -154,17 +157,15 @@ def pseudonymise(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_col:
     some = F.size("raw") > 0
     found = found.withColumn("judged", F.when(some, judged)).withColumn("named", F.when(some, renamed)).withColumn("between", F.when(some, F.split("text", ANY, -1)))
     joined = F.concat(F.array_join(F.zip_with(F.slice("between", F.lit(1), F.size("named")), "named", lambda gap, n: F.concat(gap, n["pseudonym"])), ""), F.element_at("between", -1))
-    hit_type = "array<struct<kind:string,start:bigint,end:bigint,pseudonym:string>>"
-    none = F.array().cast(hit_type)
+    none = F.array().cast(f"array<{HIT}>")
     sized = F.zip_with(F.slice("between", F.lit(1), F.size("named")), "named", lambda gap, n: F.struct(F.length(gap).cast("long").alias("gap"), F.length(n["hit"]).cast("long").alias("length"), n["kind"].alias("kind"), n["pseudonym"].alias("pseudonym")))
 
-    def step(acc: Column, one: Column) -> Column:
-        start = acc["at"] + one["gap"]
+    def step(at: Column, one: Column) -> tuple[Column, Column]:
+        start = at + one["gap"]
         end = start + one["length"]
-        hit = F.struct(one["kind"].alias("kind"), start.alias("start"), end.alias("end"), one["pseudonym"].alias("pseudonym"))
-        return F.struct(end.alias("at"), F.when(one["kind"].isNull(), acc["hits"]).otherwise(F.concat(acc["hits"], F.array(hit))).alias("hits"))
+        return end, F.when(one["kind"].isNotNull(), F.struct(one["kind"].alias("kind"), start.alias("start"), end.alias("end"), one["pseudonym"].alias("pseudonym")))
 
-    hits = F.aggregate(sized, F.struct(F.lit(0).cast("long").alias("at"), none.alias("hits")), step, lambda acc: acc["hits"])
+    hits = scan(sized, F.lit(0).cast("long"), step, HIT)
     return found.select("doc_id", F.when(some, joined).otherwise(text).alias("text"), F.when(some, hits).otherwise(none).alias("hits"))
 
 
