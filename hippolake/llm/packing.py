@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from hippolake.storage import materialize
 
-#: Rows ranked by one task at once.
-CELL_ROWS = 20_000
+#: Rows ranked at once, but for one cell a length.
+CELL_ROWS = 1_000
+#: Characters of a segment that tiktoken is given.
+LONG = 10_000
 
 #: Per-worker tokenizers by path.
 _LOADED: dict[str, "SegmentIds"] = {}
@@ -43,8 +45,9 @@ class SegmentIds:
     once. Spaces before anything else (blanks, other scripts, the end) are not cut at, which is
     always safe. Segments that don't recur are many, so they are encoded with the file's own
     vocabulary by tiktoken, which is several times faster, where its merges are ranked by their
-    ids (as tiktoken takes them to be); otherwise, and for segments with added tokens in them, by
-    tokenizers itself.
+    ids (as tiktoken takes them to be). Otherwise, and for segments with added tokens in them or of
+    more than LONG characters, tokenizers itself is asked: tiktoken's stack and time are not bounded
+    on long runs of one class of characters.
     """
 
     def __init__(self, path: str, limit: int = 100_000):
@@ -63,7 +66,7 @@ class SegmentIds:
         self.first: dict[str, bytes] = _Memo(self._encode, limit)
 
     def _encode(self, segment: str) -> bytes:
-        if self.fast and not self.special.search(segment):
+        if self.fast and len(segment) <= LONG and not self.special.search(segment):
             ids = self.fast(segment)
         else:
             ids = self.tokenizer.encode(segment, add_special_tokens=False).ids
@@ -213,18 +216,21 @@ def slots(packs: list[tuple[tuple[int, ...], int]], capacity: int) -> list[tuple
     return out
 
 
-def ranked(pieces: DataFrame, key: str, order: list[str], cells: int) -> DataFrame:
+def ranked(pieces: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Adds `rank` (from 0) among the rows of one key, without bringing a key's rows together.
 
-    Rows are dealt to `cells` cells per key; each cell is ranked for itself and starts where the
-    cells before it end. The table of starts has at most `cells` rows per key.
+    Rows are dealt to cells of about CELL_ROWS by a hash; each cell is ranked for itself and starts
+    where its key's cells before it end. Rows equal in `order` are told apart by the column `twin`
+    (any number), so that a row that is repeated very often isn't one cell's. Cells grow with the
+    table, and so are joined, not broadcast.
     """
-    dealt = pieces.withColumn("cell", F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
+    sizes = pieces.groupBy(key).agg((1 + F.floor(F.count("*") / CELL_ROWS)).alias("cells"))
+    dealt = pieces.join(F.broadcast(sizes), key).withColumn("cell", F.pmod(F.xxhash64(*order, "twin"), F.col("cells")))
     starts = dealt.groupBy(key, "cell").agg(F.count("*").alias("n"))
     before = W.partitionBy(key).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     starts = starts.select(key, "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     local = F.row_number().over(W.partitionBy(key, "cell").orderBy(*order)) - 1
-    return dealt.withColumn("local", local).join(starts, [key, "cell"]).withColumn("rank", F.col("first") + F.col("local")).drop("cell", "local", "first")
+    return dealt.withColumn("local", local).join(starts, [key, "cell"]).withColumn("rank", F.col("first") + F.col("local")).drop("cell", "cells", "twin", "local", "first")
 
 
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, tokenizer: str | None = None, end_id: int = 0, keep_ids: bool = True) -> DataFrame:
@@ -232,19 +238,21 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
 
     Each id lies in exactly one piece; a sequence's offsets leave no gap from 0. A sequence whose
     length is a power of two needs no padding, others are padded to `capacity`. An empty table
-    gives no rows; repeated rows are packed as often as they occur. keep_ids=False leaves the ids
-    out (the checksum stays) for callers that only plan.
+    gives no rows; repeated rows are packed as often as they occur. Pieces of one length take places
+    in any order, so which of them share a sequence may differ between runs; how long sequences are
+    doesn't. Texts of any length, and runs of blanks in them, are encoded whole. keep_ids=False leaves
+    the ids out (the checksum stays) for callers that only plan.
     """
     cut_ = cut(docs, id_col=id_col, text_col=text_col, capacity=capacity, tokenizer=tokenizer, end_id=end_id)
     cut_ = cut_.withColumn("ids_crc32", F.crc32("ids"))
-    pieces = materialize(cut_ if keep_ids else cut_.drop("ids"), "pieces")
+    # The number that tells equal rows apart is written down with them, so it stays the same when they are read twice.
+    pieces = materialize((cut_ if keep_ids else cut_.drop("ids")).withColumn("twin", F.monotonically_increasing_id() % 4096), "pieces")
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.createDataFrame(slots(patterns(histogram, capacity), capacity), "length long, first_rank long, ranks long, first_sequence long, offset long, padded_to long")
-    cells = 1 + max(histogram.values(), default=0) // CELL_ROWS
     # The number of places depends on the lengths and on how patterns were split, both bounded by capacity squared, whatever the corpus.
     return (
-        ranked(pieces, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], cells)
+        ranked(pieces, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"])
         .join(F.broadcast(places), "length")
         .filter((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("ranks")))
         .withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("first_rank"))

@@ -116,6 +116,30 @@ def test_pieces_round_trip(spark):
         assert at <= 256 and padded == (at if at & (at - 1) == 0 else 256)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t", "\u3000", "a", "é", "1", "-", "日"])
+def test_long_runs_are_encoded_like_the_file_says(run):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    text = "x" + run * (2_000_000 if run.isspace() else 300_000) + "y z"
+    expected = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.SegmentIds(path)(text), "<u4").tolist() == expected
+
+
+def test_ranks_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_ROWS", 50)
+    docs = docs_of(spark, ["same text"] * 700 + ["x " * 40] * 5, [1] * 700 + [2] * 5)
+    rows = packing.pack(docs, capacity=64).collect()
+    assert len(rows) == 700 + 5 * (len(rows) - 700) // 5
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert len(set(places)) == len(rows)
+    at: dict = {}
+    for sequence, offset, length in places:
+        assert at.get(sequence, 0) == offset
+        at[sequence] = offset + length
+    assert max(at.values()) <= 64
+
+
 def test_packing_nothing(spark):
     assert packing.pack(docs_of(spark, []), capacity=64).count() == 0
 
