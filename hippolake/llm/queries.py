@@ -26,7 +26,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+    return topk.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

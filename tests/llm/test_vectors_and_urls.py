@@ -28,17 +28,37 @@ def test_topk_matches_brute_force(spark):
     rows += [(100, None), (105, []), (110, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (115, [float("nan")] * 6), (120, [float("inf")] * 6), (None, [1.0] * 6), (61, rows[7][1]), (62, rows[7][1]), (63, [0.0] * 6), (65, [0.0] * 6)]
     df = spark.createDataFrame([(i, v, 3, "x") for i, v in rows], "vec_id long, embedding array<float>, rank int, asks string")
     for block in (8192, 16):
-        got = {tuple(r) for r in topk.search(df, lambda c: c % 5 == 0, k=4, block=block, query_block=5).select("query_id", "rank", "vec_id", "score").collect()}
+        got = {tuple(r) for r in topk.search(df, lambda c: c % 5 == 0, k=4, most_block=block, query_block=5).select("query_id", "rank", "vec_id", "score").collect()}
         assert got == plain_topk(rows, 4)
     assert topk.search(df.limit(0), lambda c: c % 5 == 0).count() == 0
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
-    assert [tuple(r) for r in topk.search(few, lambda c: c == 0, k=5).collect()] == [(0, 1, 1, 131072)]
+    assert [tuple(r) for r in topk.search(few, lambda c: c == 0, k=5).collect()] == [(0, 1, 1, 131072, None)]
+
+
+def test_scores_of_large_components_are_exact(spark):
+    rows = [(0, [600_000.0, 1.0]), (1, [600_000.0, 0.0]), (2, [700_000.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.search(df, lambda c: c == 0, k=5).orderBy("rank").collect()] == [(0, 1, 2, 27525120000000000, None), (0, 2, 1, 23592960000000000, None)]
+    rng = np.random.default_rng(4)
+    for size in (1e3, 1e6, 1e9, 1e20, 1e200):
+        rows = [(i, [float(x) for x in rng.normal(0, size, 5)]) for i in range(80)]
+        rows += [(80 + i, [x + size * 1e-15 for x in rows[7 + i][1]]) for i in range(30)] + [(110, rows[3][1]), (111, [1e308] * 5)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if all(math.isfinite(256 * x) for x in v)]
+        expected = set()
+        for q, qv in whole:
+            if q % 5 == 0:
+                for rank, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(qv, v, strict=True)), i) for i, v in whole if i != q)[:4], 1):
+                    fits = -(1 << 63) <= -s < 1 << 63
+                    expected.add((q, rank, i, -s if fits else None, None if fits else str(-s)))
+        for block in (32_768, 16):
+            assert {tuple(r) for r in topk.search(df, lambda c: c % 5 == 0, k=4, most_block=block).collect()} == expected
 
 
 def test_threshold_stops_early():
     rng = np.random.default_rng(2)
-    lists = topk.SortedLists(np.arange(5000), rng.integers(-50, 50, (5000, 3)))
-    query = np.array([100, 1, 0])
+    lists = topk.SortedLists(np.arange(5000), rng.integers(-50, 50, (5000, 3)).astype(float))
+    query = np.array([100.0, 1.0, 0.0])
     best = lists.top(-1, query, 3, stretch=8)
     scores = lists.vectors @ query
     order = np.lexsort((lists.ids, -scores))[:3]
