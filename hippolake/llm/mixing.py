@@ -22,6 +22,12 @@ from hippolake.storage import materialize
 
 #: The weights of the sources in order, repeated.
 WEIGHTS = (5, 2, 1)
+#: Words of an output shard, about.
+SHARD_WORDS = 20_000_000
+#: Numbers of the table of sources and shards that the driver splits; shards grow beyond SHARD_WORDS to keep to it.
+MOST_QUOTAS = 4_000_000
+#: Sources that the driver plans for; more are refused.
+MOST_SOURCES = 500_000
 
 
 def targets(sizes: list[int], weights: list[int], total: int, most: int = 3) -> list[float]:
@@ -64,7 +70,7 @@ def _keyed(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
 
 
-def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", payload: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block_words: int = 200_000, shards: int = 64, seed: int = 7) -> DataFrame:
+def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", payload: list[str] | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block_words: int = 200_000, shards: int | None = None, seed: int = 7) -> DataFrame:
     """Every row of docs with what the mix takes of it.
 
     Columns: doc_id, source, size, source_size, target, copies, shards (one per copy), order_key,
@@ -74,7 +80,13 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     extra columns are not read. An empty table gives an empty plan. The same rows give the same
     plan, however they are partitioned.
 
-    The driver sees one row per source and one per source and shard.
+    What a document gives is what the shards draw of its block: the splitting tree's quotas say how
+    many of a source's units (a block, as often as the mix repeats it) each shard has, shards take them
+    in permuted order, and `copies` counts the units that went to one.
+
+    The driver sees one row per source and one per source and shard. Shards follow from the words of
+    the mix (about SHARD_WORDS each) unless their number is given. More than MOST_SOURCES sources are
+    refused with an error: sites, say, are to be grouped first.
     """
     spark = docs.sparkSession
     kept = F.struct(*[F.col(f"`{c}`") for c in payload]) if payload else F.lit(None).cast("struct<none:int>")
@@ -83,7 +95,10 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     rows = materialize(rows, "sized") if not payload else rows
 
     found = sorted(rows.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"{len(found)} sources are more than {MOST_SOURCES}")
     sizes = [r["n"] for r in found]
+    shards = shards or max(1, min(math.ceil(sum(sizes) / SHARD_WORDS), MOST_QUOTAS // max(1, len(found))))
     goals = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], sum(sizes), most)
     source_plan = []
     for row, goal in zip(found, goals, strict=True):
@@ -130,8 +145,10 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     units = blocks.join(bounds, blocks["source"].eqNullSafe(bounds["s"])).drop("s")
     ends = F.sum(times).over(W.partitionBy("source").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
     units = units.withColumn("first_unit", ends - times)
+    # The shard whose run of the source's units holds unit k; none beyond the last run, as it is when all quotas are dealt.
     in_shard = lambda k: F.size(F.filter("bounds", lambda b: b <= F.col("first_unit") + k))
-    block_shards = F.when(times > 0, F.transform(F.sequence(F.lit(0), F.greatest(times - 1, F.lit(0))), in_shard)).otherwise(F.array().cast("array<int>"))
+    dealt = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(times - 1, F.lit(0))), in_shard), lambda s: s < F.size("bounds"))
+    block_shards = F.when(times > 0, dealt).otherwise(F.array().cast("array<int>"))
     units = units.select(F.col("source").alias("us"), F.col("block").alias("ub"), "part", block_shards.alias("block_shards"))
 
     units = units.join(drawn, units["us"].eqNullSafe(drawn["ds"]) & (F.col("part") == 1), "left").drop("ds")
@@ -143,13 +160,21 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     twin = F.row_number().over(W.partitionBy("none", "named", "block", "order_key", "doc_id", "size").orderBy(F.lit(1)))
     out = out.withColumn("twin", twin)
     fits = (key < F.col("cut")) | ((key == F.col("cut")) & (F.col("twin") <= F.col("n_cut"))) | ((key == F.col("best")) & (F.col("twin") <= F.col("n_best")))
-    out = out.withColumn("more", F.when(F.col("part") == 2, 1).when((F.col("part") == 1) & F.coalesce(fits, F.lit(False)), 1).otherwise(0))
-    out = out.drop("twin", "none", "named", "cut", "n_cut", "best", "n_best")
-    return out.withColumn("copies", F.col("whole") + F.col("more")).withColumn("shards", F.slice("block_shards", F.lit(1), F.col("copies"))).drop("part", "more", "block_shards", "whole", "rest", "blocks")
+    # In the block in which the rest falls, what doesn't fit is left out of the last draw.
+    out = out.withColumn("left_out", F.when((F.col("part") == 1) & ~F.coalesce(fits, F.lit(False)), 1).otherwise(0))
+    out = out.withColumn("shards", F.slice("block_shards", F.lit(1), F.greatest(F.size("block_shards") - F.col("left_out"), F.lit(0))))
+    drop = ("twin", "none", "named", "cut", "n_cut", "best", "n_best", "part", "left_out", "block_shards", "whole", "rest", "blocks")
+    return out.withColumn("copies", F.size("shards")).drop(*drop)
 
 
 def emit(planned: DataFrame, seed: int = 7) -> DataFrame:
-    """One row per drawn copy, by shard and shuffled within it: shard, copy, position key, and the plan's columns."""
+    """One row per drawn copy, by shard and shuffled within it: shard, copy, position_key, and the plan's columns but `shards`.
+
+    Documents that the mix doesn't take give no rows; null and empty texts and repeated rows are
+    written as often as they were drawn. Other columns are those of the plan, where docs' own are in
+    `payload`, so names can't clash. An empty plan gives no rows. A shard's rows are sorted by a keyed
+    hash, which spills where they are many; their texts may be of any length.
+    """
     each = planned.filter("copies > 0").select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
     each = each.withColumn("position_key", _keyed(seed + 2, F.col("order_key"), F.col("copy")))
     return each.repartition("shard").sortWithinPartitions("shard", "position_key")

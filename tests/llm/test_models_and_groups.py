@@ -149,6 +149,30 @@ def test_mix_meets_targets_and_repeats_itself(spark):
     assert mixing.plan(df.limit(0)).count() == 0
 
 
+def test_what_is_taken_is_what_shards_draw(spark, monkeypatch):
+    rows = [(i, "w " * 50, "ab"[i % 2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole = mixing.plan(df, block_words=200, shards=4).collect()
+    assert {s for r in whole for s in r.shards} == set(range(4))
+    dealt = mixing.split
+    monkeypatch.setattr(mixing, "split", lambda counts, shards, seed: np.concatenate([dealt(counts, shards, seed)[:-1], np.zeros((1, len(counts)), np.int64)]))
+    less = mixing.plan(df, block_words=200, shards=4).collect()
+    assert {s for r in less for s in r.shards} == set(range(3))
+    assert sum(r.copies for r in less) == sum(s < 3 for r in whole for s in r.shards)
+
+
+def test_many_sources_are_refused_and_long_texts_emitted(spark, monkeypatch):
+    rows = [(1, "w " * 400_000, "a"), (2, None, "a"), (3, "", None), (3, "", None), (4, "x y", "b")]
+    df = spark.createDataFrame([(*r, 5, 6) for r in rows], "doc_id long, text string, source string, shard int, copy int")
+    planned = mixing.plan(df, payload=df.columns, shards=3)
+    out = mixing.emit(planned).collect()
+    assert len(out) == sum(r.copies for r in planned.collect()) and {len(r.payload.text or "") for r in out} <= {0, 3, 800_000}
+    assert mixing.emit(mixing.plan(df.limit(0))).count() == 0
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.plan(df)
+
+
 # --- quality
 
 
