@@ -4,7 +4,8 @@ Trusted positives are documents labelled good; everything else in the corpus is
 both kinds. A small network is fitted by minimising the non-negative unbiased risk
     prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)])
 with the logistic loss; when the second part falls below zero only its own gradient is followed
-back up. The class prior is estimated as the share of good ones among the labelled training rows.
+back up. The class prior is estimated from positives and unlabelled rows alone (estimated_prior);
+rows labelled bad are never looked at.
 
 Features are shares and means over the whole text: classes of bytes, repetition, word shapes.
 """
@@ -23,7 +24,7 @@ from hippolake.llm.text import WORD_HASHES
 
 #: At most so many rows of each kind are fitted on, the first by a hash of their id.
 FIT_POSITIVES, FIT_UNLABELLED = 10_000, 20_000
-#: Prior where the labelled rows don't hold both classes.
+#: Prior that is assumed where there is nothing to estimate it from, and to begin with.
 DEFAULT_PRIOR = 0.7
 #: Words of a text are counted in stretches of so many bytes.
 STRETCH = 1 << 20
@@ -134,6 +135,28 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden:
     return Model(mean, scale, params[0], params[1], params[2], float(params[3][0]), prior)
 
 
+def estimated_prior(positives: np.ndarray, unlabelled: np.ndarray, *, risk: float = 0.1) -> float:
+    """The share of positives among the unlabelled rows, by the best bin of a held-out half.
+
+    A model fitted on one half of the rows scores the other. In any top part of the scores the
+    unlabelled rows' share is at least the prior times the positives' share; where that part holds
+    positives only, it is equal. So their ratio is taken at the part that makes its upper confidence
+    bound least. The halves change places and the two ratios are averaged.
+    """
+    if len(positives) < 8 or len(unlabelled) < 8:
+        return DEFAULT_PRIOR
+    ratios = []
+    for here in (0, 1):
+        model = fit(positives[here::2], unlabelled[here::2], DEFAULT_PRIOR, steps=200)
+        p, u = np.sort(model.raw(positives[1 - here :: 2])), np.sort(model.raw(unlabelled[1 - here :: 2]))
+        above_p = (len(p) - np.searchsorted(p, p, "left")) / len(p)
+        above_u = (len(u) - np.searchsorted(u, p, "left")) / len(u)
+        slack = sum(np.sqrt(np.log(4 / risk) / (2 * n)) for n in (len(p), len(u)))
+        best = int(np.argmin((above_u + slack) / above_p))
+        ratios.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(ratios), 0.05, 0.95))
+
+
 def remainder(doc_id) -> F.Column:
     """crc32 of the id as text, mod 5; rows of remainder 0 are held out. A null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
@@ -150,34 +173,34 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on the rows that aren't held out.
 
     Positives: labelled 1 (a document labelled both ways is none). Unlabelled: all documents, with no
-    regard to their labels. Of each at most fit_* rows, chosen by a hash of the id, are fitted on.
-    Without positives or documents the model scores all alike.
+    regard to their labels. Of each about fit_* rows at most, chosen by a hash of the id, are fitted
+    on: each row's own hash decides, so no task gathers them, and their number is that bound but for a
+    few in a hundred. Without positives or documents the model scores all alike.
     """
-    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0)).groupBy(F.col("doc_id").alias("known_id")).agg(F.min("quality").alias("quality"))
-    counts = known.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count("*").alias("all")).first()
+    trusted = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0)).groupBy(F.col("doc_id").alias("known_id")).agg(F.min("quality").alias("quality")).filter("quality = 1")
+    good = trusted.count()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0))
     n = rows.count()
     steps = 1 << 20
-    # Somewhat fewer than the bound are aimed at, so that the hash's chance doesn't pass it; the limit is only a guard.
-    within = lambda seed, most, of: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(steps)) < (steps if of <= most else int(steps * 0.95 * most / of))
-    good = rows.join(known.filter("quality = 1").filter(F.pmod(F.xxhash64(F.col("known_id"), F.lit(1)), F.lit(steps)) < (steps if counts["good"] <= fit_positives else int(steps * 0.95 * fit_positives / counts["good"]))), F.col("doc_id") == F.col("known_id"), "left_semi").limit(fit_positives)
-    any_ = rows.filter(within(2, fit_unlabelled, n)).limit(fit_unlabelled)
-    both = good.select("text", F.lit(True).alias("positive")).unionByName(any_.select("text", F.lit(False).alias("positive")))
-    got = both.mapInArrow(_feature_rows, "positive boolean, x array<double>").toArrow()
+    within = lambda key, seed, most, of: F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(steps)) < (steps if of <= most else int(steps * 0.95 * most / of))
+    positives = rows.join(trusted.filter(within("known_id", 1, fit_positives, good)), F.col("doc_id") == F.col("known_id"), "left_semi")
+    either = positives.select("text", F.lit(True).alias("positive")).unionByName(rows.filter(within("doc_id", 2, fit_unlabelled, n)).select("text", F.lit(False).alias("positive")))
+    got = either.mapInArrow(_feature_rows, "positive boolean, x array<double>").toArrow()
     flag = got.column("positive").to_numpy()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
-    prior = counts["good"] / counts["all"] if 0 < counts["good"] < counts["all"] else DEFAULT_PRIOR
     if not flag.any() or flag.all():
-        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), float(np.log(prior / (1 - prior))), prior)
-    order = np.lexsort(x.T)  # the same model however the rows arrive
-    return fit(x[order][flag[order]], x[order][~flag[order]], prior)
+        return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), float(np.log(DEFAULT_PRIOR / (1 - DEFAULT_PRIOR))), DEFAULT_PRIOR)
+    # The same model however the rows arrive; shuffled, as halves are taken.
+    order = np.random.default_rng(5).permutation(np.lexsort(x.T)) if len(x) else np.empty(0, int)
+    x, flag = x[order], flag[order]
+    return fit(x[flag], x[~flag], estimated_prior(x[flag], x[~flag]))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """doc_id, score (0 to 1, higher: better)[, row]; one row per row of docs, from the text alone.
 
-    Null and empty texts get the score of a text without words. Repeated rows are scored each for
-    itself. Other columns are not read unless named in `keep`; those come back in the struct `row`.
+    Null and empty texts get the score of a text without words. Texts of any length are read whole, a
+    stretch at a time. Repeated rows are scored each for itself; an empty table gives no rows. Other columns are not read unless named in `keep`; those come back in the struct `row`.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []))
 
