@@ -68,14 +68,58 @@ def test_no_documents(spark):
     assert near_dups.group(df).count() == 0
 
 
-def test_crowded_regions_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(near_dups, "REGION_ROWS", 4)
+@pytest.mark.parametrize("sizes", [{"REGION_ROWS": 4}, {"REGION_ROWS": 4, "PART_ROWS": 5}, {"REGION_ROWS": 4, "HELD_ROWS": 20, "PART_ROWS": 7}, {"REGION_ROWS": 4, "WIDE_ROWS": 10, "SAMPLE": 1}])
+def test_crowded_regions_lose_nothing(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(near_dups, name, value)
     docs = made_docs()
     df = spark.createDataFrame(docs, "doc_id long, text string")
     rows = near_dups.group(df, width=2, percent=80).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=repr) == plain_groups(docs, 2, 80)
 
 
+@pytest.mark.parametrize("width", [2, 5])
+def test_one_row_of_each_group_stays(spark, width):
+    docs = made_docs()
+    docs += [(6, "quite another text with the id of the third one"), (None, "alone here now"), (None, ""), docs[0], (0, None)]
+    df = spark.createDataFrame([(i, t, n % 2, "x") for n, (i, t) in enumerate(docs)], "doc_id long, text string, row int, key string")
+    kept = near_dups.deduplicate(df, width=width, percent=80)
+    assert kept.columns == df.columns
+    rows = kept.collect()
+    texts = [(n, t) for n, (_, t) in enumerate(docs)]  # groups of rows, whatever their ids
+    groups: dict = {}
+    for n, _, root in plain_groups(texts, width, 80):
+        groups.setdefault(root, []).append(n)
+    expected = []
+    for members in groups.values():
+        worded = plain_set(docs[members[0]][1], width)
+        stays = min(((docs[n][0] is None, docs[n][0] or 0) for n in members)) if worded else None
+        expected.append(repr((None if stays[0] else stays[1]) if worded else docs[members[0]][0]))
+    assert sorted(repr(r.doc_id) for r in rows) == sorted(expected)
+    assert all((r.doc_id, r.text) in docs for r in rows)
+    assert near_dups.deduplicate(df.limit(0)).count() == 0
+
+
+def test_recall_of_borderline_pairs_in_a_crowded_region(spark):
+    """600 pairs at 0.80 to 0.82, all sharing enough with each other to crowd the regions: each pair is found, at the real sizes."""
+    rng = np.random.default_rng(12)
+    shared = [f"s{i}" for i in range(240)]
+    docs = []
+    for k in range(600):
+        own = [f"o{k}x{i}" for i in range(160)]
+        left = shared + own
+        right = shared + own[:116] + [f"r{k}x{i}" for i in range(44)]
+        docs += [" ".join(left), " ".join(right)]
+    order = rng.permutation(len(docs))
+    sets = [set(near_dups.shingles(t, 2).tolist()) for t in docs]
+    assert all(100 * len(sets[i] & sets[i + 1]) >= 80 * len(sets[i] | sets[i + 1]) for i in range(0, len(docs), 2))
+    rows = near_dups.group(spark.createDataFrame([(int(i), docs[i]) for i in order], "doc_id long, text string"), width=2).collect()
+    together = {r.doc_id: r.component_id for r in rows}
+    found = sum(together[i] == together[i + 1] for i in range(0, len(docs), 2))
+    assert found >= 0.99 * 600
+    assert len({r.component_id for r in rows}) >= 590  # and strangers stay apart
+
+
 def test_profiles_bound_what_sets_share():
     rng = np.random.default_rng(6)
     for n in (3, 200, 5000):
