@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hippolake.llm import chat, fingerprints, mixing, near_dups, packing, pii, quality, secrets, topk, url_filters
-from hippolake.llm.sql import CHAT_SQL, MIXING_SQL, TOPK_SQL, URL_SQL, secrets_sql
+from hippolake.llm.sql import CHAT_SQL, MIXING_SQL, NEAR_SQL, TOPK_SQL, URL_SQL, secrets_sql
 from hippolake.storage import table
 
 
@@ -84,5 +84,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_exact_topk": TOPK_SQL,
     "op4_url_filters": URL_SQL,
     "op6_chat_format": CHAT_SQL,
+    "op9_near_dups": NEAR_SQL,
     "op10_mixing": MIXING_SQL,
 }

@@ -125,6 +125,27 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+NEAR_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM worded
+), nodes AS (
+  SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), parts AS (
+  SELECT id, n, unnest(s) AS t FROM nodes
+), links AS (
+  SELECT a.id AS a, b.id AS b FROM parts a JOIN parts b ON a.t = b.t AND a.id <> b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached(id, other) AS (
+  SELECT id, id FROM nodes UNION SELECT r.id, l.b FROM reached r JOIN links l ON r.other = l.a
+), named AS (
+  SELECT n.s, min(r.other) AS component FROM nodes n JOIN reached r USING (id) GROUP BY n.s
+)
+SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM sets s LEFT JOIN named USING (s)
+"""
+
 TOPK_SQL = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
