@@ -1,7 +1,9 @@
 """The corpus pipeline: quality, near-duplicates, secrets, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the driver writes it as Parquet and
-hands it to the next one. All but the last return the columns of docs.
+hands it to the next one. All but the last return the columns of docs, under their names and in their
+order, whatever other columns there are. Null and empty texts, null and repeated ids, repeated rows and
+very long texts pass each stage as its operator's docstring says; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -26,14 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Documents without id stay."""
-    grouped = near_dups.group(docs, width=5, percent=80)
-    kept = grouped.filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.filter("doc_id is not null").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    # Rows that share an id: the smallest stays.
-    columns = [c for c in docs.columns if c != "doc_id"]
-    one = named.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row")).select("doc_id", "row.*")
-    return one.unionByName(docs.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One document of each group of near copies: the one with the smallest id. Documents without words stay, as do unlike ones that share an id."""
+    return near_dups.deduplicate(docs, width=5, percent=80)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
