@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 NOT_WORD = r"[^\p{IsAlphabetic}\p{N}]+"
 
 # The stop words of the ranking tokenizer.
-STOP_WORDS = (
+STOP_WORDS = (  # as text, in alphabetical order
     "a an and are as at be but by do for from had has have he her him his how if in into is it its me my no not of on "
     "or our out she so than that the their them then there these they this to up us was we were what when where which "
     "who whom why will with you your"
@@ -31,16 +31,16 @@ def plain_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda t: F.length(t) > 0)
 
 
-def blind_indices(text: Column) -> Column:
-    """Distinct SHA-256 of the tokens, in the order they first occur; equality is all that an index over them can see."""
-    return F.array_distinct(F.transform(tokens(text), lambda t: F.sha2(t, 256)))
-
-
 def normalise(text: Column) -> Column:
     """Lower case, blanks collapsed, trimmed: what fingerprints and entity names are compared in."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
+def loose(text: Column) -> Column:
+    """Lower case, punctuation to blanks, blanks collapsed, trimmed: what pending texts are compared in."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+
+
 def entity_id(name: Column) -> Column:
     """First eight bytes of the normal form's SHA-256, as hex."""
     return F.substring(F.sha2(normalise(name), 256), 1, 16)

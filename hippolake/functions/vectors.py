@@ -35,13 +35,17 @@ def signatures(vectors: DataFrame, tables: int, bits: int, dims: int, *, id_col:
     weights = rng.standard_normal((tables, bits, dims)).round(6).reshape(tables * bits, dims)
     powers = (1 << np.arange(bits)).astype(np.int64)
 
-    @F.pandas_udf("array<long>")
+    @F.arrow_udf("array<long>")
     def sign(values):
-        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        x = np.stack([np.asarray(v, np.float64) if v is not None and len(v) == dims else np.zeros(dims) for v in values])
-        side = (x @ weights.T >= 0).reshape(len(x), tables, bits)
-        return pd.Series(list((side * powers).sum(axis=2)))
+        # Vectors of another length lie where zeros do.
+        fits = pc.fill_null(pc.equal(pc.list_value_length(values), dims), False).to_numpy(zero_copy_only=False)
+        x = np.zeros((len(values), dims))
+        x[fits] = values.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        side = ((x @ weights.T >= 0).reshape(len(x), tables, bits) * powers).sum(axis=2)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(side.ravel()))
 
     return vectors.select(F.col(id_col), F.posexplode(sign(vector_col)).alias("table", "signature"))
 
@@ -50,39 +54,54 @@ def signatures(vectors: DataFrame, tables: int, bits: int, dims: int, *, id_col:
 BLOCK_ROWS = 1024
 
 
-def cosine_pairs(vectors: DataFrame, least: float, *, id_col: str, vector_col: str) -> DataFrame:
-    """a, b, cosine: every pair of ids a < b whose vectors have at least this cosine (above 0).
+def cosine_pairs(vectors: DataFrame, least: float, *, id_col: str, vector_col: str, block: str | None = None) -> DataFrame:
+    """a, b[, block], cosine: every pair of ids a < b, of one block if given, with at least this cosine (above 0, rounded to 12 places).
 
-    Each two blocks of rows meet in one group and are multiplied there. That is all pairs, so it is
-    for thresholds at which buckets don't narrow the search.
+    A block's rows are dealt to parts of about BLOCK_ROWS, and each two parts meet in one group and are
+    multiplied there, so a hot block is many tasks'; blocks of one part share groups. That is all
+    pairs of a block, so it is for blocks, or for thresholds at which buckets don't narrow the search.
+    Rows without id, block or vector take no part.
     """
-    rows = vectors.filter(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    met = rows.withColumn("block", block).withColumn("other", other).select("id", "v", F.size("v").alias("dims"), "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    name = F.col(block) if block else F.lit(0)
+    rows = vectors.filter(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & name.isNotNull())
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), name.alias("block"), F.size(vector_col).alias("dims"))
+    sizes = rows.groupBy("block", "dims").agg((1 + F.floor((F.count("*") - 1) / BLOCK_ROWS)).cast("int").alias("parts"))
+    groups = max(1, -(-rows.count() // BLOCK_ROWS))
+    met = rows.join(sizes, ["block", "dims"])
+    met = met.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.withColumn("bin", F.when(F.col("parts") > 1, F.xxhash64("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(groups))))
+    met = met.select("id", "v", "dims", "block", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "bin")
+    kind = dict(met.dtypes)["block"]
+
+    def products(ids: np.ndarray, x: np.ndarray, part: np.ndarray, p: int, q: int):
+        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        for at in range(0, len(left), BLOCK_ROWS):
+            some = left[at : at + BLOCK_ROWS]
+            cosines = (x[some] @ x[right].T).round(12)
+            i, j = np.nonzero(cosines >= least)
+            c, i, j = cosines[i, j], ids[some[i]], ids[right[j]]
+            kept = i < j if p == q else i != j
+            yield np.minimum(i, j)[kept], np.maximum(i, j)[kept], c[kept]
 
     def run(key, table):
         import pyarrow as pa
 
-        dims, p, q = (k.as_py() for k in key)
-        ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+        dims, _, p, q = (k.as_py() for k in key)
+        ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
+        codes = table.column("block").combine_chunks().dictionary_encode()
+        codes = codes if isinstance(codes, pa.DictionaryArray) else codes.combine_chunks()
+        of_block = codes.indices.to_numpy()
         x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
         x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        a, b, found = [], [], []
-        for at in range(0, len(left), BLOCK_ROWS):
-            some = left[at : at + BLOCK_ROWS]
-            cosines = x[some] @ x[right].T
-            i, j = np.nonzero(cosines >= least)
-            c, i, j = cosines[i, j], ids[some[i]], ids[right[j]]
-            kept = i < j if p == q else i != j
-            a.append(np.minimum(i, j)[kept]), b.append(np.maximum(i, j)[kept]), found.append(c[kept])
-        together = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts])
-        return pa.table({"a": together(a, np.int64), "b": together(b, np.int64), "cosine": together(found, np.float64)})
-
-    return met.groupBy("dims", "p", "q").applyInArrow(run, "a long, b long, cosine double")
+        order = np.argsort(of_block, kind="stable")
+        edges = [0, *(np.flatnonzero(np.diff(of_block[order])) + 1).tolist(), len(order)]
+        found = [(a, b, np.full(len(a), of_block[rows[0]]), c) for low, high in zip(edges, edges[1:], strict=False) if len(rows := order[low:high]) for a, b, c in products(ids[rows], x[rows], part[rows], p, q)]
+        a, b, blocks, c = (np.concatenate([np.empty(0, t), *[f[i] for f in found]]) for i, t in enumerate((np.int64, np.int64, np.int32, np.float64)))
+        return pa.table({"a": a, "b": b, "block": codes.dictionary.take(pa.array(blocks.astype(np.int32))), "cosine": c})
+
+    found = met.groupBy("dims", "bin", "p", "q").applyInArrow(run, f"a long, b long, block {kind}, cosine double")
+    return found.withColumnRenamed("block", block) if block else found.drop("block")
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -7,18 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hippolake.functions import scores
-from hippolake.functions.vectors import cosine
+from hippolake.functions.vectors import cosine, cosine_pairs
+from hippolake.storage import materialize
 
 TIE = 0.01
 STEP, LEAST_WEIGHT, MOST_WEIGHT, LEAST_SUM, MOST_SUM = 0.02, 0.05, 0.60, 0.9, 1.1
 PARTS = ("confidence", "corroboration", "recency", "validation")
 
 
-def block_pairs(claims: DataFrame, block: str, *, id_col: str = "id") -> DataFrame:
-    """Pairs (a < b) of one block with their cosine: an equi-join on the block, never all pairs of the table."""
-    left = claims.select(F.col(id_col).alias("a"), block, F.col("embedding").alias("ea"))
-    right = claims.select(F.col(id_col).alias("b"), block, F.col("embedding").alias("eb"))
-    return left.join(right, block).filter("a < b").withColumn("cosine", cosine(F.col("ea"), F.col("eb"))).drop("ea", "eb")
+def block_pairs(claims: DataFrame, block: str, least: float, *, id_col: str = "id") -> DataFrame:
+    """a, b, block, cosine of the pairs (a < b) of one block with at least this cosine; a block's rows meet part by part."""
+    return cosine_pairs(claims, least, id_col=id_col, vector_col="embedding", block=block)
+
+
+def newest_before(claims: DataFrame, block: str, most: int, *, id_col: str = "id") -> DataFrame:
+    """a, b, block, cosine of each b with the `most` claims of its block that came last before it. A frame of so many rows moves along each block."""
+    before = W.partitionBy(block).orderBy(id_col).rowsBetween(-most, -1)
+    held = claims.select(F.col(id_col).alias("b"), block, F.col("embedding").alias("eb"), F.collect_list(F.struct(F.col(id_col).alias("a"), F.col("embedding").alias("ea"))).over(before).alias("others"))
+    return held.select("b", block, "eb", F.explode("others").alias("e")).select("e.a", "b", block, cosine(F.col("e.ea"), F.col("eb")).alias("cosine"))
 
 
 def best_match(pairs: DataFrame, least: float) -> DataFrame:
@@ -33,60 +39,57 @@ def band(pairs: DataFrame, low: float, high: float) -> DataFrame:
     return pairs.filter((rounded >= low) & (rounded < high))
 
 
-def greedy_clusters(claims: DataFrame, least: float, *, block: str, order: str = "id", singletons: bool = True) -> DataFrame:
-    """(block, id, cluster): each claim joins the first cluster whose first member it is similar to, else opens one.
+def first_come(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(id, leader): going through nodes by id, one without a leader before it that it has an edge to is a leader itself (leader = id); others have the first such.
 
-    Which cluster a claim joins depends on all before it, so a block is folded as one group. Blocks
-    come from hashing or an entity, so that a block fits in a task; without one the order is global.
+    nodes: (id), edges: (a, b) with a < b. What a node is depends on those before it that it has an edge
+    to, and on nothing else, so all whose answer is known are settled at once, round by round, in joins;
+    no group is folded in one task. Rounds are as many as the longest chain of answers that wait for
+    each other, few where ids and vectors have little to do with each other.
+    """
+    edges = materialize(edges.select("a", "b").distinct(), "edges")
+    linked = edges.select(F.col("b").alias("id")).distinct()
+    # Nodes with no edge to one before them are leaders.
+    leaders = materialize(nodes.select("id").join(linked, "id", "left_anti"), "leaders")
+    members = None
+    waiting = edges
+    for _ in range(most_rounds):
+        met = waiting.join(leaders.select(F.col("id").alias("a"), F.lit(True).alias("leads")), "a", "left")
+        now = materialize(met.filter("leads").groupBy(F.col("b").alias("id")).agg(F.lit(True).alias("member")), "members")
+        members = now.select("id") if members is None else members.unionByName(now.select("id"))
+        # Edges of new members settle nothing more, to whichever side.
+        waiting = waiting.join(now.select(F.col("id").alias("b")), "b", "left_anti").join(now.select(F.col("id").alias("a")), "a", "left_anti")
+        settled = waiting.join(leaders.select(F.col("id").alias("a")), "a", "left_anti")
+        waiting = materialize(settled, "waiting")
+        open_ = linked.join(members, "id", "left_anti").join(leaders, "id", "left_anti")
+        fresh = materialize(open_.join(waiting.select(F.col("b").alias("id")).distinct(), "id", "left_anti"), "fresh")
+        leaders = materialize(leaders.unionByName(fresh), "leaders")
+        if fresh.isEmpty():
+            break
+    else:
+        raise RuntimeError("the nodes did not settle")
+    first = edges.join(leaders.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
+    return nodes.select("id").join(leaders.withColumn("leads", F.lit(True)), "id", "left").join(first, "id", "left").select("id", F.when(F.col("leads"), F.col("id")).otherwise(F.col("leader")).alias("leader"))
+
+
+def greedy_clusters(claims: DataFrame, least: float, *, block: str, singletons: bool = True) -> DataFrame:
+    """(block, id, cluster): each claim joins the first cluster of its block whose first member it is similar to, else opens one; by id, clusters numbered from 0.
+
+    Claims without vector are similar to nothing.
     """
-    import numpy as np
-    import pandas as pd
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        vectors = np.stack([np.asarray(v, np.float64) for v in group["embedding"]])
-        norms = np.sqrt((vectors * vectors).sum(axis=1))
-        unit = vectors / np.where(norms > 0, norms, 1)[:, None]
-        leaders: list[int] = []
-        cluster = np.zeros(len(group), np.int64)
-        for i in range(len(group)):
-            alike = unit[leaders] @ unit[i] if leaders else np.empty(0)
-            hit = np.flatnonzero(alike.round(12) >= least)
-            if len(hit):
-                cluster[i] = hit[0]
-            else:
-                cluster[i] = len(leaders)
-                leaders.append(i)
-        out = pd.DataFrame({block: group[block].to_numpy(), "id": group["id"].to_numpy(), "cluster": cluster})
-        return out if singletons else out[out.groupby("cluster")["id"].transform("size") > 1]
-
-    kinds = dict(claims.dtypes)
-    return claims.groupBy(block).applyInPandas(fold, f"{block} {kinds[block]}, id {kinds['id']}, cluster long")
-
-
-def in_batch_dedup(facts: DataFrame, least: float, *, batch: str, order: str = "id") -> DataFrame:
-    """(batch, id, kept): dropped if similar to one kept before in its batch; other actions than ADD and facts without vector stay."""
-    import numpy as np
-    import pandas as pd
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        kept_vectors: list[np.ndarray] = []
-        kept = []
-        for v, action in zip(group["embedding"], group["action"], strict=True):
-            if action != "ADD" or v is None or not len(v):
-                kept.append(True)
-                continue
-            v = np.asarray(v, np.float64)
-            norm = np.sqrt(v @ v)
-            alike = any(norm * np.sqrt(k @ k) > 0 and round(float(v @ k / (norm * np.sqrt(k @ k))), 12) >= least for k in kept_vectors)
-            kept.append(not alike)
-            if not alike:
-                kept_vectors.append(v)
-        return pd.DataFrame({batch: group[batch].to_numpy(), "id": group["id"].to_numpy(), "kept": kept})
-
-    kinds = dict(facts.dtypes)
-    return facts.groupBy(batch).applyInPandas(fold, f"{batch} {kinds[batch]}, id {kinds['id']}, kept boolean")
+    found = claims.select("id", block).join(first_come(claims, block_pairs(claims, block, least)), "id")
+    numbers = found.filter("leader = id").select(block, "leader", (F.row_number().over(W.partitionBy(block).orderBy("leader")) - 1).cast("long").alias("cluster"))
+    out = found.join(numbers.drop(block), "leader").select(block, "id", "leader", "cluster")
+    if not singletons:
+        out = out.join(out.groupBy("leader").count().filter("count > 1").select("leader"), "leader", "left_semi")
+    return out.select(block, "id", "cluster")
+
+
+def in_batch_dedup(facts: DataFrame, least: float, *, batch: str) -> DataFrame:
+    """(batch, id, kept): dropped if similar to one kept before in its batch, by id; other actions than ADD and facts without vector stay."""
+    added = facts.filter((F.col("action") == "ADD") & (F.size("embedding") > 0))
+    judged = first_come(added, block_pairs(added, batch, least))
+    return facts.select(batch, "id").join(judged, "id", "left").select(batch, "id", F.coalesce(F.col("leader") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def representative(claims: DataFrame, group: str, *, decay: str, created: str, text: str, order: str = "id") -> DataFrame:

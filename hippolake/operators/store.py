@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hippolake.functions.arrays import scan
+
 
 def export_active(facts: DataFrame) -> DataFrame:
     return facts.filter("is_active")
@@ -83,16 +85,15 @@ def batches(rows: DataFrame, *, key: str, order: str, size: str, most_rows: int,
     """
     listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("rows"))
 
-    def step(acc: Column, row: Column) -> Column:
+    def step(acc: Column, row: Column) -> tuple[Column, Column]:
         opens = (acc["n"] >= most_rows) | ((acc["n"] > 0) & (acc["bytes"] + row[size] > most_bytes))
         batch = acc["batch"] + F.when(opens, 1).otherwise(0)
-        out = F.concat(acc["out"], F.array(F.struct(row[order].alias(order), row[size].alias(size), batch.alias("batch"))))
-        return F.struct(batch.alias("batch"), F.when(opens, 1).otherwise(acc["n"] + 1).alias("n"), F.when(opens, row[size]).otherwise(acc["bytes"] + row[size]).alias("bytes"), out.alias("out"))
+        state = F.struct(batch.alias("batch"), F.when(opens, 1).otherwise(acc["n"] + 1).alias("n"), F.when(opens, row[size]).otherwise(acc["bytes"] + row[size]).alias("bytes"))
+        return state, F.struct(row[order].alias(order), row[size].alias(size), batch.alias("batch"))
 
     kinds = dict(rows.dtypes)
-    empty = F.array().cast(f"array<struct<{order}:{kinds[order]},{size}:{kinds[size]},batch:int>>")
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast(kinds[size]).alias("bytes"), empty.alias("out"))
-    return listed.select(key, F.inline(F.aggregate("rows", start, step, lambda acc: acc["out"])))
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast(kinds[size]).alias("bytes"))
+    return listed.select(key, F.inline(scan(F.col("rows"), start, step, f"struct<{order}:{kinds[order]},{size}:{kinds[size]},batch:int>")))
 
 
 def keep_newest(log: DataFrame, most: int, *, key: str, order: list[str]) -> DataFrame:

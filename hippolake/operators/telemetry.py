@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hippolake.functions.arrays import scan
+
 
 def last_n(df: DataFrame, n: int, *, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("age", F.row_number().over(W.partitionBy(key).orderBy(*[F.desc(o) for o in order]))).filter(F.col("age") <= n).drop("age")
@@ -32,14 +34,14 @@ def rate_limit(hits: DataFrame, *, key: str, order: list[str], at: str, most: in
     """
     listed = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(at, *[c for c in order if c != at]))).alias("hits"))
 
-    def step(acc: Column, hit: Column) -> Column:
-        recent = F.filter(acc["recent"], lambda t: t > hit[at] - window)
+    def step(before: Column, hit: Column) -> tuple[Column, Column]:
+        recent = F.filter(before, lambda t: t > hit[at] - window)
         allowed = F.size(recent) < most
-        return F.struct(F.when(allowed, F.concat(recent, F.array(hit[at]))).otherwise(recent).alias("recent"), F.concat(acc["out"], F.array(F.struct(hit[order[-1]].alias(order[-1]), allowed.alias("allowed")))).alias("out"))
+        return F.when(allowed, F.concat(recent, F.array(hit[at]))).otherwise(recent), F.struct(hit[order[-1]].alias(order[-1]), allowed.alias("allowed"))
 
     kinds = dict(hits.dtypes)
-    start = F.struct(F.array().cast(f"array<{kinds[at]}>").alias("recent"), F.array().cast(f"array<struct<{order[-1]}:{kinds[order[-1]]},allowed:boolean>>").alias("out"))
-    return listed.select(key, F.inline(F.aggregate("hits", start, step, lambda acc: acc["out"])))
+    none = F.array().cast(f"array<{kinds[at]}>")
+    return listed.select(key, F.inline(scan(F.col("hits"), none, step, f"struct<{order[-1]}:{kinds[order[-1]]},allowed:boolean>")))
 
 
 def retrieval_quality(ranked: DataFrame, relevant: DataFrame, k: int, *, query: str = "query_id", item: str = "id", category: str = "category") -> DataFrame:

@@ -190,7 +190,12 @@ def last_100_frame(role):
     return role("events").select("event_id", F.round(F.avg("value").over(W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-99, 0)), 9).alias("mean"))
 
 
-@query("R11_rate_limit")
+@query("R11_rate_limit", """
+WITH RECURSIVE hits AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS secs FROM {events}), rows AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY secs, event_id) AS r FROM hits),
+walk AS (SELECT user_id, event_id, r, [secs] AS recent, true AS allowed FROM rows WHERE r = 1
+  UNION ALL SELECT x.user_id, x.event_id, x.r, CASE WHEN len(list_filter(w.recent, lambda t: t > x.secs - 36000)) < 3 THEN list_append(list_filter(w.recent, lambda t: t > x.secs - 36000), x.secs) ELSE list_filter(w.recent, lambda t: t > x.secs - 36000) END,
+    len(list_filter(w.recent, lambda t: t > x.secs - 36000)) < 3 FROM walk w JOIN rows x ON x.user_id = w.user_id AND x.r = w.r + 1)
+SELECT user_id, event_id, allowed FROM walk""")
 def rate_limit(role):
     hits = role("events").select("user_id", "event_id", F.floor(_at()).alias("at"))
     return M.rate_limit(hits, key="user_id", order=["at", "event_id"], at="at", most=3, window=36000)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hippolake.functions import text as T
+from hippolake.functions.stem import stems_sql
+from hippolake.operators import retrieval as R
 from hippolake.plans.catalog import query
 
 # Phrases of pin intents, by kind, in the order in which they are tried.
@@ -246,9 +249,9 @@ def lossy_enum(role):
     return role("orders").select("o_orderkey", F.when(name == "not-specified", "unspecified").when(name.isin("urgent", "high"), name).otherwise("other").alias("scope"))
 
 
-@query("F21_min_score_snippet", "SELECT id, substr(text, 1, 80) AS snippet FROM {facts} WHERE decay_score >= 0.8")
+@query("F21_min_score_snippet", "SELECT id, substr(text, 1, 500) AS snippet FROM {facts} WHERE decay_score >= 0.8")
 def min_score_snippet(role):
-    return role("facts").filter("decay_score >= 0.8").select("id", F.substring("text", 1, 80).alias("snippet"))
+    return role("facts").filter("decay_score >= 0.8").select("id", F.substring("text", 1, 500).alias("snippet"))
 
 
 @query("F22_stale_imports", "SELECT user_id, min(ts) AS began, CASE WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 2 HOUR ELSE max(ts) < TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR END AS stale FROM {events} GROUP BY 1")
@@ -270,19 +273,26 @@ def default_volatility(role):
     return role("documents").select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "stable").when(F.col("source").like("%1"), "ephemeral").otherwise("updatable").alias("volatility"))
 
 
-@query("C36_recall_context", "SELECT owner, 'Relevant memories:' || chr(10) || string_agg('- [' || source || '] (' || strftime(to_timestamp(created_at), '%Y-%m-%d') || ') ' || substr(text, 1, 50), chr(10) ORDER BY created_at DESC, id) AS context FROM {facts} GROUP BY 1")
+@query("C36_recall_context", "SELECT owner, 'Relevant memories:' || chr(10) || string_agg('- [' || source || '] (' || strftime(to_timestamp(created_at), '%Y-%m-%d') || ') ' || text, chr(10) ORDER BY created_at DESC, id) AS context FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY created_at DESC, id) AS k FROM {facts}) WHERE k <= 8 GROUP BY 1")
 def recall_context(role):
-    line = F.concat(F.lit("- ["), "source", F.lit("] ("), F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd"), F.lit(") "), F.substring("text", 1, 50))
+    """What a recall of an owner's newest facts hands on: as many as a recall gives, whole."""
+    newest = F.row_number().over(W.partitionBy("owner").orderBy(F.desc("created_at"), "id"))
+    line = F.concat(F.lit("- ["), "source", F.lit("] ("), F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd"), F.lit(") "), "text")
     lines = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("created_at")).alias("t"), "id", line.alias("line")))), lambda r: r["line"])
-    return role("facts").groupBy("owner").agg(F.concat(F.lit("Relevant memories:\n"), F.array_join(lines, "\n")).alias("context"))
+    return role("facts").withColumn("k", newest).filter("k <= 8").groupBy("owner").agg(F.concat(F.lit("Relevant memories:\n"), F.array_join(lines, "\n")).alias("context"))
 
 
-@query("C37_pending_duplicates", r"SELECT conv_id, turn, contains(trim(regexp_replace(lower(n), '\s+', ' ', 'g')), trim(regexp_replace(lower(substr(text, 1, 12)), '\s+', ' ', 'g'))) AS duplicate FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM {conversations}) WHERE n IS NOT NULL")
+@query("C37_pending_duplicates", r"""
+WITH n AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(trim(lower(text)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM {conversations}),
+o AS (SELECT *, unnest([lag(t, 1) OVER w, lag(t, 2) OVER w, lag(t, 3) OVER w]) AS other FROM n WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, coalesce(bool_or(t <> '' AND other <> '' AND (contains(other, t) OR contains(t, other))), false) AS duplicate FROM o GROUP BY 1, 2""")
 def pending_duplicates(role):
-    from pyspark.sql import Window as W
-
-    rows = role("conversations").withColumn("n", F.lead("text").over(W.partitionBy("conv_id").orderBy("turn"))).filter("n is not null")
-    return rows.select("conv_id", "turn", F.contains(T.normalise(F.col("n")), T.normalise(F.substring("text", 1, 12))).alias("duplicate"))
+    """Whether a turn's text holds, or is held in, one of the three turns before it."""
+    per = W.partitionBy("conv_id").orderBy("turn")
+    rows = role("conversations").select("conv_id", "turn", T.loose(F.col("text")).alias("t"))
+    rows = rows.withColumn("others", F.array(*[F.lag("t", k).over(per) for k in (1, 2, 3)]))
+    held = F.exists("others", lambda o: (o != "") & (F.contains(o, F.col("t")) | F.contains(F.col("t"), o)))
+    return rows.select("conv_id", "turn", F.coalesce((F.col("t") != "") & held, F.lit(False)).alias("duplicate"))
 
 
 @query("FN_format_age", "SELECT event_id, CASE WHEN s < 60 THEN CAST(s AS BIGINT) || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' WHEN s < 2592000 THEN s // 86400 || 'd ago' WHEN s < 31536000 THEN s // 2592000 || 'mo ago' ELSE s // 31536000 || 'y ago' END AS age FROM (SELECT event_id, CAST(event_id * event_id AS BIGINT) AS s FROM {events})")
@@ -300,14 +310,28 @@ def path_shape(role):
     return role("pages").select("page_id", T.path_shape(F.regexp_extract("url", "://[^/]*([^?#]*)", 1)).alias("path"))
 
 
-@query("FN_hmac_fingerprint")
+@query("FN_hmac_fingerprint", r"""SELECT doc_id, sha256('%s'::BLOB || unhex(sha256('%s'::BLOB || encode(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))))) AS fp FROM {documents}""" % (r"\x37" * 32 + r"\x5C" * 32, r"\x5D" * 32 + r"\x36" * 32))
 def hmac_fingerprint(role):
     return role("documents").select("doc_id", T.fingerprint(F.col("text"), b"k" * 32).alias("fp"))
 
 
-@query("FN_blind_indices", r"SELECT item_id, array_to_string(list_transform(list_filter(t, lambda x, i: list_position(t, x) = i), lambda x: sha256(x)), ',') AS hashes FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 2) AS t FROM {benchmark})")
+_VOCABULARY_SQL = r"""
+WITH tok AS (SELECT id, unnest(t) AS token, unnest(range(len(t))) AS place FROM (SELECT %s AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 2) AS t FROM {%s})),
+vocab AS (SELECT DISTINCT token FROM tok), stems AS (%s),
+terms AS (SELECT token, 0 AS kind, sha256(token) AS hash FROM vocab UNION ALL SELECT token, 1, sha256('stem:' || stem) FROM stems WHERE strlen(stem) >= 2),
+first AS (SELECT id, hash, min(place * 2 + kind) AS pos FROM tok JOIN terms USING (token) GROUP BY 1, 2)
+"""
+
+
+def vocabulary_sql(id_col: str, table: str) -> str:
+    """first (id, hash, pos): a text's digests of words and stems, and where they first occur."""
+    return _VOCABULARY_SQL % (id_col, table, stems_sql("vocab"))
+
+
+@query("FN_blind_indices", vocabulary_sql("item_id", "benchmark") + "SELECT item_id, coalesce(hashes, '') AS hashes FROM {benchmark} LEFT JOIN (SELECT id, string_agg(hash, ',' ORDER BY pos) AS hashes FROM first GROUP BY id) ON id = item_id")
 def blind_indices(role):
-    return role("benchmark").select("item_id", F.array_join(T.blind_indices(F.col("text")), ",").alias("hashes"))
+    listed = R.blind_indices(role("benchmark"), id_col="item_id")
+    return listed.select("item_id", F.array_join("hashes", ",").alias("hashes"))
 
 
 @query("FN_iso_to_unix", "SELECT o_orderkey, CASE WHEN year(o_orderdate) BETWEEN 1996 AND 2100 THEN CAST(epoch(o_orderdate) AS BIGINT) ELSE 0 END AS unix FROM {orders}")

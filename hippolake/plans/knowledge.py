@@ -22,39 +22,52 @@ RESOLVED_SQL = PAIRS_SQL + SCORES_SQL + """, resolved AS (SELECT p.a, p.b, p.cos
   FROM pairs p JOIN totals o ON o.id = p.a JOIN totals n ON n.id = p.b WHERE p.cosine >= 0.30 AND p.cosine < 0.85)"""
 
 
-def _pairs(role) -> DataFrame:
-    return K.block_pairs(role("claims"), "entity")
+def _pairs(role, least: float) -> DataFrame:
+    return K.block_pairs(role("claims"), "entity", least)
 
 
 def _resolved(role) -> DataFrame:
-    return K.resolve(K.band(_pairs(role), 0.30, 0.85), K.with_scores(role("claims")))
+    return K.resolve(K.band(_pairs(role, 0.30), 0.30, 0.85), K.with_scores(role("claims")))
 
 
 @query("J5_best_duplicate", PAIRS_SQL + "SELECT b, a, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY cosine DESC, a) AS k FROM pairs WHERE cosine >= 0.2) WHERE k = 1")
 def best_duplicate(role):
-    return K.best_match(_pairs(role), 0.2).select("b", "a", F.round("cosine", 6).alias("cosine"))
+    return K.best_match(_pairs(role, 0.2), 0.2).select("b", "a", F.round("cosine", 6).alias("cosine"))
 
 
 @query("J6_contradiction_band", PAIRS_SQL + "SELECT a, b, entity, round(cosine, 6) AS cosine FROM pairs WHERE cosine >= 0.30 AND cosine < 0.85")
 def contradiction_band(role):
-    return K.band(_pairs(role), 0.30, 0.85).select("a", "b", "entity", F.round("cosine", 6).alias("cosine"))
+    return K.band(_pairs(role, 0.30), 0.30, 0.85).select("a", "b", "entity", F.round("cosine", 6).alias("cosine"))
 
 
 @query("J7_entity_candidates", "SELECT claim, candidate FROM (SELECT x.id AS claim, y.id AS candidate, row_number() OVER (PARTITION BY x.id, x.entity ORDER BY y.created_at DESC, y.id) AS k FROM {claims} x JOIN {claims} y ON x.entity = y.entity AND x.id <> y.id) WHERE k <= 20")
 def entity_candidates(role):
+    # One more than wanted, as a claim may be among its entity's newest itself.
     claims = role("claims")
-    met = claims.select(F.col("id").alias("claim"), "entity").join(claims.select(F.col("id").alias("candidate"), "entity", "created_at"), "entity").filter("claim <> candidate")
-    nearest = F.row_number().over(W.partitionBy("claim", "entity").orderBy(F.desc("created_at"), "candidate"))
+    newest = F.row_number().over(W.partitionBy("entity").orderBy(F.desc("created_at"), "id"))
+    held = claims.select(F.col("id").alias("candidate"), "entity", newest.alias("place")).filter("place <= 21")
+    met = claims.select(F.col("id").alias("claim"), "entity").join(held, "entity").filter("claim <> candidate")
+    nearest = F.row_number().over(W.partitionBy("claim", "entity").orderBy("place"))
     return met.withColumn("k", nearest).filter("k <= 20").select("claim", "candidate").distinct()
 
 
-@query("C3_in_batch_dedup")
+#: Going through `rows` (block, id, v: unit vectors) by id: the leaders so far, and the number of the one that each is like.
+FIRST_COME_SQL = """WITH RECURSIVE rows AS (SELECT block, id, v, row_number() OVER (PARTITION BY block ORDER BY id) AS k FROM ({rows})),
+walk AS (SELECT block, k, id, [v] AS leaders, CAST(0 AS BIGINT) AS cluster, true AS leads FROM rows WHERE k = 1
+  UNION ALL SELECT block, k, id, CASE WHEN hit IS NULL THEN list_append(leaders, v) ELSE leaders END, CAST(coalesce(hit - 1, len(leaders)) AS BIGINT), hit IS NULL
+  FROM (SELECT x.block, x.k, x.id, x.v, w.leaders, list_position(list_transform(w.leaders, lambda l: round(list_dot_product(l, x.v), 12) >= 0.2), true) AS hit FROM walk w JOIN rows x ON x.block = w.block AND x.k = w.k + 1))
+"""
+_UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))"
+CLUSTERS_SQL = FIRST_COME_SQL.replace("{rows}", f"SELECT entity AS block, id, {_UNIT} AS v FROM {{claims}}")
+
+
+@query("C3_in_batch_dedup", FIRST_COME_SQL.replace("{rows}", f"SELECT owner AS block, id, {_UNIT} AS v FROM {{claims}} WHERE id % 9 <> 0") + "SELECT owner, c.id, coalesce(leads, true) AS kept FROM {claims} c LEFT JOIN walk w ON w.id = c.id")
 def in_batch_dedup(role):
     facts = role("claims").select("id", "owner", "embedding", F.when(F.col("id") % 9 == 0, "UPDATE").otherwise("ADD").alias("action"))
     return K.in_batch_dedup(facts, 0.2, batch="owner")
 
 
-@query("C4_greedy_clusters")
+@query("C4_greedy_clusters", CLUSTERS_SQL + "SELECT block AS entity, id, cluster FROM walk")
 def greedy_clusters(role):
     return K.greedy_clusters(role("claims").select("id", "entity", "embedding"), 0.2, block="entity")
 
@@ -67,20 +80,20 @@ def representatives(role):
 @query("C6_supersede_rule", PAIRS_SQL + "SELECT p.a, p.b, y.importance >= x.importance AS supersedes FROM pairs p JOIN {claims} x ON x.id = p.a JOIN {claims} y ON y.id = p.b WHERE p.cosine >= 0.2")
 def supersede_rule(role):
     claims = role("claims").select("id", "importance")
-    met = _pairs(role).filter(F.round("cosine", 12) >= 0.2)
+    met = _pairs(role, 0.2)
     old, new = claims.select(F.col("id").alias("a"), F.col("importance").alias("old")), claims.select(F.col("id").alias("b"), F.col("importance").alias("new"))
     return met.join(old, "a").join(new, "b").select("a", "b", (F.col("new") >= F.col("old")).alias("supersedes"))
 
 
-@query("C7_consolidation_report")
+@query("C7_consolidation_report", CLUSTERS_SQL + "SELECT block AS entity, count(*) FILTER (n > 1) AS clusters, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT block, cluster, count(*) AS n FROM walk GROUP BY 1, 2) GROUP BY 1")
 def consolidation_report(role):
     clusters = K.greedy_clusters(role("claims").select("id", "entity", "embedding"), 0.2, block="entity").groupBy("entity", "cluster").agg(F.count("*").alias("n"))
     return clusters.groupBy("entity").agg(F.count_if(F.col("n") > 1).alias("clusters"), F.sum(F.col("n") - 1).alias("duplicates"))
 
 
-@query("C8_entity_ids", r"SELECT item_id, trim(regexp_replace(lower(substr(text, 1, 30)), '\s+', ' ', 'g')) AS name, substr(sha256(trim(regexp_replace(lower(substr(text, 1, 30)), '\s+', ' ', 'g'))), 1, 16) AS entity_id FROM {benchmark}")
+@query("C8_entity_ids", r"SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS name, substr(sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))), 1, 16) AS entity_id FROM {benchmark}")
 def entity_ids(role):
-    name = F.substring("text", 1, 30)
+    name = F.col("text")
     return role("benchmark").select("item_id", T.normalise(name).alias("name"), T.entity_id(name).alias("entity_id"))
 
 
@@ -102,7 +115,7 @@ def score_components(role):
 @query("C11_pair_resolution", PAIRS_SQL + SCORES_SQL + " SELECT p.a, p.b, CASE WHEN round(x.total, 12) >= round(y.total, 12) THEN p.a ELSE p.b END AS winner FROM pairs p JOIN totals x ON x.id = p.a JOIN totals y ON y.id = p.b WHERE p.cosine >= 0.3")
 def pair_resolution(role):
     scored = K.with_scores(role("claims")).select("id", F.round("parts.weighted_total", 12).alias("total"))
-    met = _pairs(role).filter(F.round("cosine", 12) >= 0.3)
+    met = _pairs(role, 0.3)
     met = met.join(scored.select(F.col("id").alias("a"), F.col("total").alias("ta")), "a").join(scored.select(F.col("id").alias("b"), F.col("total").alias("tb")), "b")
     return met.select("a", "b", F.when(F.col("ta") >= F.col("tb"), F.col("a")).otherwise(F.col("b")).alias("winner"))
 

@@ -19,9 +19,7 @@ def metadata_rejoin(role):
 @query("J15_candidate_limited_duplicate", PAIRS_SQL + ", capped AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY a DESC) AS place FROM pairs) SELECT b, a, round(cosine, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY cosine DESC, a) AS k FROM capped WHERE place <= 50 AND cosine >= 0.1) WHERE k = 1")
 def candidate_limited_duplicate(role):
     """The best match among the 50 newest candidates, the cap being the feature."""
-    place = F.row_number().over(W.partitionBy("b").orderBy(F.desc("a")))
-    capped = K.block_pairs(role("claims"), "entity").withColumn("place", place).filter("place <= 50")
-    return K.best_match(capped, 0.1).select("b", "a", F.round("cosine", 6).alias("cosine"))
+    return K.best_match(K.newest_before(role("claims"), "entity", 50), 0.1).select("b", "a", F.round("cosine", 6).alias("cosine"))
 
 
 @query("J16_posting_reattach", "SELECT l_orderkey AS id, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS hashes FROM {lineitem} WHERE l_orderkey IN (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P') GROUP BY 1")
@@ -33,7 +31,7 @@ def posting_reattach(role):
 
 @query("C12_contradiction_representatives", PAIRS_SQL + " SELECT b AS claim, count(*) AS contradictions, min(a) AS first_existing FROM pairs WHERE cosine >= 0.30 AND cosine < 0.85 GROUP BY 1")
 def contradiction_representatives(role):
-    return K.band(K.block_pairs(role("claims"), "entity"), 0.30, 0.85).groupBy(F.col("b").alias("claim")).agg(F.count("*").alias("contradictions"), F.min("a").alias("first_existing"))
+    return K.band(K.block_pairs(role("claims"), "entity", 0.30), 0.30, 0.85).groupBy(F.col("b").alias("claim")).agg(F.count("*").alias("contradictions"), F.min("a").alias("first_existing"))
 
 
 @query("C18_tuning_watermark", "SELECT user_id, count(*) FILTER (ts > TIMESTAMP '2024-01-15') AS entries, greatest(max(ts), TIMESTAMP '2024-01-15') AS watermark, epoch(TIMESTAMP '2024-01-31') - epoch(max(ts)) >= 3600 AS runs FROM {events} GROUP BY 1")
@@ -46,12 +44,12 @@ def tuning_watermark(role):
 
 @query("C19_template_digest", """
 WITH r AS (SELECT owner, id, text, row_number() OVER (PARTITION BY owner ORDER BY round(importance * (1 / (1 + (1800000000 - created_at) / 86400.0 / 30)), 12) DESC, id) AS k, count(*) OVER (PARTITION BY owner) AS n FROM {facts})
-SELECT owner, 'Facts: ' || max(n) || chr(10) || string_agg(k || '. ' || substr(text, 1, 40), chr(10) ORDER BY k) AS digest FROM r WHERE k <= 10 GROUP BY owner""")
+SELECT owner, 'Facts: ' || max(n) || chr(10) || string_agg(k || '. ' || text, chr(10) ORDER BY k) AS digest FROM r WHERE k <= 10 GROUP BY owner""")
 def template_digest(role):
     score = F.round(F.col("importance") * (1 / (1 + (F.lit(1_800_000_000) - F.col("created_at")) / 86400.0 / 30)), 12)
     per = W.partitionBy("owner")
     rows = role("facts").withColumn("k", F.row_number().over(per.orderBy(F.desc(score), "id"))).withColumn("n", F.count("*").over(per)).filter("k <= 10")
-    line = F.concat(F.col("k").cast("string"), F.lit(". "), F.substring("text", 1, 40))
+    line = F.concat(F.col("k").cast("string"), F.lit(". "), "text")
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", line.alias("line")))), lambda r: r["line"]), "\n")
     return rows.groupBy("owner").agg(F.concat(F.lit("Facts: "), F.max("n").cast("string"), F.lit("\n"), lines).alias("digest"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hippolake.functions import text as T
 from hippolake.functions import vectors as V
+from hippolake.functions.stem import stems_sql
 from hippolake.operators import retrieval as R
 from hippolake.plans.catalog import query
 
@@ -21,8 +22,11 @@ _OKAPI_TOKENS = _TOKENS.replace("strlen(x) >= 2", f"length(x) >= 2 AND x NOT IN
 POOL_SQL = f"""
 WITH dtok AS (SELECT id, unnest({_TOKENS}) AS token FROM {{facts}}),
 qtok AS (SELECT query_id, unnest({_TOKENS}) AS token FROM {{asked}}),
-post AS (SELECT DISTINCT id, sha256(token) AS hash FROM dtok),
-trap AS (SELECT DISTINCT query_id, sha256(token) AS hash FROM qtok),
+vocab AS (SELECT token FROM dtok UNION SELECT token FROM qtok),
+stems AS ({stems_sql("vocab").replace("{", "{{").replace("}", "}}")}),
+terms AS (SELECT token, sha256(token) AS hash FROM vocab UNION ALL SELECT token, sha256('stem:' || stem) FROM stems WHERE strlen(stem) >= 2),
+post AS (SELECT DISTINCT id, hash FROM dtok JOIN terms USING (token)),
+trap AS (SELECT DISTINCT query_id, hash FROM qtok JOIN terms USING (token)),
 hits AS (SELECT DISTINCT t.query_id, p.id FROM trap t JOIN post p USING (hash)),
 pool0 AS (SELECT h.query_id, h.id, f.decay_score, count(*) OVER (PARTITION BY h.query_id) AS total,
          row_number() OVER (PARTITION BY h.query_id ORDER BY f.decay_score DESC, h.id) AS rank FROM hits h JOIN {{facts}} f ON f.id = h.id),
@@ -75,9 +79,7 @@ def _tokens(df: DataFrame, key: str, tokens=T.tokens) -> DataFrame:
 
 def pool(role, most: int = POOL) -> DataFrame:
     facts, asked = role("facts"), role("asked")
-    index = R.postings(facts.select("id", T.blind_indices(F.col("text")).alias("hashes")), "id", "hashes")
-    trapdoors = asked.select("query_id", F.explode(T.blind_indices(F.col("text"))).alias("hash"))
-    return R.overlap_search(index, trapdoors, facts, most=most)
+    return R.overlap_search(R.blind_terms(facts), R.blind_terms(asked, id_col="query_id"), facts, most=most)
 
 
 def scored(role, variant: str = "core") -> DataFrame:
@@ -98,25 +100,27 @@ def overlap_search(role):
     return pool(role).select("query_id", "id", "decay_score", "total", F.col("rank").cast("long").alias("rank"))
 
 
-@query("J3_broadened", POOL_SQL + """, recent AS (SELECT a.query_id, f.id, row_number() OVER (PARTITION BY a.query_id ORDER BY f.created_at DESC, f.id) AS r FROM {asked} a CROSS JOIN {facts} f WHERE f.decay_score >= 0.3),
-few AS (SELECT query_id, id FROM pool WHERE rank <= 20)
-SELECT query_id, id, min(origin) AS origin FROM (SELECT query_id, id, 0 AS origin FROM few UNION ALL SELECT query_id, id, 1 AS origin FROM recent WHERE r <= 50) GROUP BY 1, 2""")
+@query("J3_broadened", POOL_SQL + """, recent AS (SELECT id, owner, row_number() OVER (PARTITION BY owner ORDER BY created_at DESC, id) AS r FROM {facts} WHERE decay_score >= 0.3)
+SELECT query_id, id, min(origin) AS origin FROM (SELECT query_id, id, 0 AS origin FROM pool UNION ALL SELECT a.query_id, r.id, 1 AS origin FROM {asked} a JOIN recent r ON r.owner = a.query_id % 7 WHERE r.r <= 1000) GROUP BY 1, 2""")
 def broadened(role):
-    # The newest active facts are the same for every query, so they are found once.
-    recent = role("facts").filter("decay_score >= 0.3").orderBy(F.desc("created_at"), "id").limit(50).select("id")
-    return R.union_first_seen(pool(role, 20).select("query_id", "id"), role("asked").select("query_id").join(F.broadcast(recent)), ["query_id", "id"])
+    # The pool, and the newest active facts of the one who asks: an owner's queries meet its facts only.
+    newest = F.row_number().over(W.partitionBy("owner").orderBy(F.desc("created_at"), "id"))
+    recent = role("facts").filter("decay_score >= 0.3").withColumn("r", newest).filter("r <= 1000").select("owner", "id")
+    own = role("asked").select("query_id", (F.col("query_id") % 7).alias("owner")).join(recent, "owner").select("query_id", "id")
+    return R.union_first_seen(pool(role).select("query_id", "id"), own, ["query_id", "id"])
 
 
-@query("J10_overlap_ratio", r"""
-WITH tok AS (SELECT conv_id * 1000 + turn AS id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 2)) AS token FROM {conversations}),
-post AS (SELECT DISTINCT id, sha256(token) AS hash FROM tok), sizes AS (SELECT id, count(*) AS size FROM post GROUP BY 1),
+@query("J10_overlap_ratio", fr"""
+WITH dtok AS (SELECT conv_id * 1000 + turn AS id, unnest({_TOKENS}) AS token FROM {{conversations}}), vocab AS (SELECT DISTINCT token FROM dtok), stems AS ({stems_sql("vocab")}),
+terms AS (SELECT token, sha256(token) AS hash FROM vocab UNION ALL SELECT token, sha256('stem:' || stem) FROM stems WHERE strlen(stem) >= 2),
+post AS (SELECT DISTINCT id, hash FROM dtok JOIN terms USING (token)), sizes AS (SELECT id, count(*) AS size FROM post GROUP BY 1),
 shared AS (SELECT n.id AS new_id, o.id AS old_id, count(*) AS shared FROM post n JOIN post o ON n.hash = o.hash AND o.id < n.id GROUP BY 1, 2),
 ratios AS (SELECT new_id, old_id, shared, shared / greatest(size, 1) AS ratio FROM shared JOIN sizes ON id = old_id),
 best AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY ratio DESC, old_id) AS rank FROM ratios WHERE ratio > 0.6)
 SELECT new_id, old_id, shared, round(ratio, 6) AS ratio, CAST(rank AS INTEGER) AS rank FROM best WHERE rank <= 5""")
 def overlap_ratio(role):
-    rows = role("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.blind_indices(F.col("text")).alias("hashes"))
-    return R.overlap_ratio(R.postings(rows, "id", "hashes")).withColumn("ratio", F.round("ratio", 6))
+    rows = role("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return R.overlap_ratio(R.blind_postings(rows)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("H1_bm25_core", CORE_SQL + "SELECT query_id, id, round(bm25, 6) AS bm25 FROM scored")

@@ -50,10 +50,10 @@ def conversation_summary(role):
     return S.summaries(role("conversations"))
 
 
-@query("R12_numbered_lines", "SELECT conv_id, string_agg(n || '. [' || role || '] ' || substr(text, 1, 60), chr(10) ORDER BY n) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM {conversations}) GROUP BY 1")
+@query("R12_numbered_lines", "SELECT conv_id, string_agg(n || '. [' || role || '] ' || text, chr(10) ORDER BY n) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM {conversations}) GROUP BY 1")
 def numbered_lines(role):
     rows = role("conversations").withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
-    line = F.concat(F.col("n").cast("string"), F.lit(". ["), "role", F.lit("] "), F.substring("text", 1, 60))
+    line = F.concat(F.col("n").cast("string"), F.lit(". ["), "role", F.lit("] "), "text")
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))), lambda r: r["line"]), "\n").alias("prompt"))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from hippolake.functions import text as T
 from hippolake.operators import store as S
+from hippolake.operators import retrieval as R
 from hippolake.plans.catalog import query
+from hippolake.plans.filters import vocabulary_sql
 
 
 @query("S1_export_active", "SELECT id, user_id, created_at FROM {stored} WHERE is_active")
@@ -56,13 +58,15 @@ def store_once(role):
     return S.store_once(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0")).select("id", "user_id", "content_fp", "stored")
 
 
-@query("W2_fact_preparation", r"""
+@query("W2_fact_preparation", vocabulary_sql("doc_id", "documents") + r""", sizes AS (SELECT id, count(*) AS n FROM first GROUP BY 1)
 SELECT doc_id AS id, greatest(0.0, least(1.0, CAST(doc_id % 14 AS DOUBLE) / 10)) AS decay_score,
- len(list_distinct(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 2))) AS n_indices, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS digest FROM {documents}""")
+ coalesce(n, 0) AS n_indices, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS digest FROM {documents} LEFT JOIN sizes ON id = doc_id""")
 def fact_preparation(role):
-    text = F.col("text")
+    docs = role("documents")
     decay = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("doc_id") % 14).cast("double") / 10))
-    return role("documents").select(F.col("doc_id").alias("id"), decay.alias("decay_score"), F.size(T.blind_indices(text)).cast("long").alias("n_indices"), F.sha2(T.normalise(text), 256).alias("digest"))
+    sizes = R.blind_postings(docs, id_col="doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n_indices"))
+    made = docs.select(F.col("doc_id").alias("id"), decay.alias("decay_score"), F.sha2(T.normalise(F.col("text")), 256).alias("digest"))
+    return made.join(sizes, "id", "left").select("id", "decay_score", F.coalesce("n_indices", F.lit(0)).cast("long").alias("n_indices"), "digest")
 
 
 @query("W3_log_replay", """
@@ -95,12 +99,11 @@ def account_delete(role):
     return S.tombstone(known, closed, key="user_id").select("id", "user_id", "is_active")
 
 
-@query("W8_export_markdown", """SELECT owner, count(*) AS n, sha256(string_agg('- [' || source || '] ' || substr(text, 1, 40) || ' (' || CAST(importance AS VARCHAR) || ')', chr(10) ORDER BY id)) AS digest FROM (SELECT owner, id, source, text, CAST(round(importance * 10) AS INTEGER) AS importance FROM {facts}) GROUP BY owner""")
+@query("W8_export_markdown", """SELECT owner, row_number() OVER (PARTITION BY owner ORDER BY id) AS n, '- [' || source || '] ' || text || ' (' || CAST(CAST(round(importance * 10) AS INTEGER) AS VARCHAR) || ')' AS line FROM {facts}""")
 def export_markdown(role):
-    line = F.format_string("- [%s] %s (%d)", F.col("source"), F.substring("text", 1, 40), F.round(F.col("importance") * 10).cast("int"))
-    rows = role("facts").select("owner", F.struct("id", line.alias("line")).alias("row"))
-    page = F.array_join(F.transform(F.sort_array(F.collect_list("row")), lambda r: r["line"]), "\n")
-    return rows.groupBy("owner").agg(F.count("*").alias("n"), F.sha2(page, 256).alias("digest"))
+    """The lines of each owner's page in their order: a row each, so no task holds a page."""
+    line = F.format_string("- [%s] %s (%d)", F.col("source"), F.col("text"), F.round(F.col("importance") * 10).cast("int"))
+    return role("facts").select("owner", F.row_number().over(W.partitionBy("owner").orderBy("id")).cast("long").alias("n"), line.alias("line"))
 
 
 @query("W9_rotate_log", "SELECT fact_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY ts DESC, event_id DESC) AS age FROM {log}) WHERE age <= 10")
