@@ -21,14 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local one, if all runs on this machine; on a cluster, an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", f"hippolake-{os.getpid()}")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: What materialize has written and release has not removed.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that materialize has written so far. For long applications: call it once results that read it are written themselves."""
+    while _WRITTEN:
+        _remove(spark, _WRITTEN.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """Best effort at exit: the session may be gone by then."""
     try:
@@ -43,11 +55,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 
     It cuts the lineage like checkpoint(), survives lost executors, and keeps columns apart, so
-    that later readers take only what they need. The files go when the process ends.
+    that later readers take only what they need. The files go when the process ends, or with release().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hippolake/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _WRITTEN:
+        atexit.register(release, spark)
+    _WRITTEN.append(path)
     return spark.read.schema(schema).parquet(path)

@@ -49,7 +49,22 @@ def test_scans_are_pruned_and_filtered(spark, small):
 
 
 def test_the_rest_works_without_the_corpus_subpackage(tmp_path):
+    """Only the two folders and the pipeline go; all else imports, and tests of all else pass."""
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", "spark-warehouse"))
-    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q); assert not any(k.startswith('op') for k in e.oracle_sql())"], cwd=copy, capture_output=True, text=True, timeout=120)
+    check = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q); assert not any(k.startswith('op') for k in e.oracle_sql())"
+    done = subprocess.run([sys.executable, "-c", check], cwd=copy, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+    done = subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_operators.py", "tests/test_imports.py"], cwd=copy, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stdout[-2000:]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    """Executors can't see each other's local folders."""
+    from types import SimpleNamespace
+
+    from hippolake.storage import shared_dir
+
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=context))
