@@ -366,15 +366,18 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent:
     for how in ("other", "all"):
         # Regions within one component have nothing more to say.
         bare = entries.join(profiles.select("node"), "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = bare.groupBy(region[0].alias("t"), region[1].alias("k")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high").select("t", "k", (1 + F.floor(F.col("n") / PART_ROWS)).cast("int").alias("parts"))
+        mixed = bare.groupBy(region[0].alias("t"), region[1].alias("k")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high").select("t", "k", "n", (1 + F.floor(F.col("n") / PART_ROWS)).cast("int").alias("parts"))
         again = bare.join(mixed, (region[0] == F.col("t")) & (region[1] == F.col("k"))).drop("t", "k").join(profiles, "node")
-        if how == "all":
+        if how == "other":  # now counted: what is too crowded to compare all with all is dealt to several tasks
+            crowded = F.col("n") > 2 * REGION_ROWS
+            again = again.withColumn("wide", crowded).withColumn("deal", F.when(crowded, F.pmod(F.xxhash64("node"), F.floor(F.col("n") / REGION_ROWS))).otherwise(0).cast("int"))
+        else:
             # Each two parts of a region meet: a row goes to one group for each part.
             again = again.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             again = again.withColumn("p", F.least("part", "meets")).withColumn("q", F.greatest("part", "meets")).drop("meets")
         # Written down first: the planner drops a repartition that a join just made, and adaptive execution may then
         # undo the join's own exchange, which would tear regions apart.
-        again = materialize(again.drop("parts"), "again")
+        again = materialize(again.drop("parts", "n"), "again")
         found = materialize(in_order(again, *(("p", "q") if how == "all" else ("deal",))).mapInArrow(_regions(percent, how), schema), how)
         links = materialize(links.unionByName(confirmed(found, sets, percent)), "confirmed")
         labels = materialize(components(links), "labels")
