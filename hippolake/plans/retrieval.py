@@ -11,6 +11,7 @@ from hippolake.functions import vectors as V
 from hippolake.functions.stem import stems_sql
 from hippolake.operators import retrieval as R
 from hippolake.plans.catalog import query
+from hippolake.storage import spread
 
 POOL, KEEP = 3000, 8
 
@@ -74,12 +75,11 @@ SELECT query_id, id, round(bm25, 6) AS bm25, round(cosine, 6) AS cosine, round(s
 
 
 def _tokens(df: DataFrame, key: str, tokens=T.tokens) -> DataFrame:
-    return df.select(key, tokens(F.col("text")).alias("tokens"))
+    return spread(df.select(key, "text")).select(key, tokens(F.col("text")).alias("tokens"))
 
 
 def pool(role, most: int = POOL) -> DataFrame:
-    facts, asked = role("facts"), role("asked")
-    return R.overlap_search(R.blind_terms(facts), R.blind_terms(asked, id_col="query_id"), facts, most=most)
+    return R.blind_overlap(role("facts").select("id", "text", "decay_score"), role("asked").select("query_id", "text"), most=most)
 
 
 def scored(role, variant: str = "core") -> DataFrame:
