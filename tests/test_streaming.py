@@ -51,11 +51,36 @@ def test_rate_limit_and_trigger(spark, log, tmp_path):
 
 def test_sessions_and_samples(spark, log, tmp_path):
     samples = ended(P.rolling_samples(P.pull(spark, log), 100), tmp_path, "samples")
-    assert samples.count() == spark.read.parquet(log).select("user_id").distinct().count()
+    held: dict = {}
+    for r in spark.read.parquet(log).orderBy("event_id").collect():
+        held.setdefault(r.user_id, []).append(r.value)
+    expected = {u: sorted(v[-100:]) for u, v in held.items()}
+    got = {r.user_id: r for r in samples.collect()}
+    assert samples.count() == len(got) and got.keys() == expected.keys()
+    for user, values in expected.items():
+        assert got[user].samples == len(values) and got[user].mean == pytest.approx(sum(values) / len(values))
+        assert got[user].p95 == values[min(int(len(values) * 0.95), len(values) - 1)]
     sessions = ended(P.gap_sessions(P.pull(spark, log), "12 hours"), tmp_path, "sessions")
     assert 0 < sessions.count() <= 1000 and sessions.filter("ended < began").count() == 0
 
 
+def test_idle_conversations_are_swept_once(spark, log, tmp_path):
+    stream = P.idle_sweep(P.pull(spark, log).select("user_id"), 500, key="user_id")
+    run = stream.writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "idle")).trigger(processingTime="500 milliseconds").start()
+    expected = {r.user_id: r["count"] for r in spark.read.parquet(log).groupBy("user_id").count().collect()}
+    try:
+        for _ in range(120):
+            got: dict = {}
+            for r in spark.table("idle").collect():
+                got[r.user_id] = got.get(r.user_id, 0) + r.turns
+            if got == expected:
+                break
+            run.awaitTermination(1)
+    finally:
+        run.stop()
+    assert got == expected
+
+
 def test_jsonl_tail(spark, tmp_path):
     folder = tmp_path / "lines"
     folder.mkdir()
