@@ -47,12 +47,13 @@ def user_metrics(role):
     return active.join(rows, "user_id", "left").select("user_id", "active", F.coalesce(F.round("mean", 6), F.lit(0.0)).alias("mean"), F.coalesce("samples", F.lit(0)).alias("samples"))
 
 
-_BOUNDS = [0.5, 1, 2.5, 5, 10, 25, 50, 100, 250]
+# The upper bounds of a duration's eleven buckets, in seconds.
+_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
 
-@query("A6_http_metrics", "SELECT event_type, le, count(*) FILTER (value <= le) AS count FROM {events}, (SELECT unnest([0.5, 1, 2.5, 5, 10, 25, 50, 100, 250, CAST('inf' AS DOUBLE)]) AS le) GROUP BY 1, 2")
+@query("A6_http_metrics", "SELECT event_type, le, count(*) FILTER (value / 10 <= le) AS count FROM {events}, (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, CAST('inf' AS DOUBLE)]) AS le) GROUP BY 1, 2")
 def http_metrics(role):
-    return M.histogram(role("events"), "value", _BOUNDS, key="event_type")
+    return M.histogram(role("events").withColumn("seconds", F.col("value") / 10), "seconds", _BOUNDS, key="event_type")
 
 
 @query("A7_digest_counts", "SELECT owner, count(*) AS facts, count(DISTINCT label) AS entities, max(created_at) AS latest FROM {facts} GROUP BY 1")

@@ -294,8 +294,16 @@ def lsh_buckets(role):
     return V.cosine_pairs(role("embeddings"), 0.35, id_col="vec_id", vector_col="embedding").withColumn("cosine", F.round("cosine", 6))
 
 
-@query("K2_pool_sizes", """SELECT n_regionkey AS region, n_nationkey * 2000 + 100 AS facts, least(greatest((n_nationkey * 2000 + 100) * 3, 400), 5000) AS pool FROM {nation}""")
+# Pools of the two tiers.
+TIER_POOLS = {"free": 100, "pro": 250}
+
+
+@query("K2_pool_sizes", """SELECT region, facts, least(greatest(facts * 3, 400), 5000) AS pool, CAST(CASE WHEN facts < 2000 THEN 2000 WHEN facts < 10000 THEN greatest(2000, least(4000, floor(facts * 0.35))) WHEN facts < 100000 THEN least(10000, 3000 + floor(log10(facts) * 500)) ELSE 10000 END AS BIGINT) AS pool_by_size, CASE WHEN region % 2 = 0 THEN 250 ELSE 100 END AS pool_by_tier
+FROM (SELECT n_regionkey AS region, CAST(n_nationkey AS BIGINT) * n_nationkey * 300 + 100 AS facts FROM {nation})""")
 def pool_sizes(role):
-    n = (F.col("n_nationkey") * 2000 + 100).alias("facts")
-    rows = role("nation").select(F.col("n_regionkey").alias("region"), n)
-    return rows.withColumn("pool", F.least(F.greatest(F.col("facts") * 3, F.lit(400)), F.lit(5000)))
+    """How many candidates a search takes, by each of three rules: three times the facts within bounds, by steps of the facts' number, by tier."""
+    n = F.col("facts")
+    rows = role("nation").select(F.col("n_regionkey").alias("region"), (F.col("n_nationkey").cast("long") * F.col("n_nationkey") * 300 + 100).alias("facts"))
+    stepped = F.when(n < 2000, F.lit(2000)).when(n < 10_000, F.greatest(F.lit(2000), F.least(F.lit(4000), F.floor(n * 0.35)))).when(n < 100_000, F.least(F.lit(10_000), 3000 + F.floor(F.log10(n) * 500))).otherwise(10_000)
+    tier = F.when(F.col("region") % 2 == 0, TIER_POOLS["pro"]).otherwise(TIER_POOLS["free"])
+    return rows.select("region", "facts", F.least(F.greatest(n * 3, F.lit(400)), F.lit(5000)).alias("pool"), stepped.cast("long").alias("pool_by_size"), tier.alias("pool_by_tier"))

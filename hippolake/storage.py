@@ -44,11 +44,11 @@ _WRITTEN: list[str] = []
 def release(spark: SparkSession) -> None:
     """Remove all that materialize has written so far. For long applications: call it once results that read it are written themselves."""
     while _WRITTEN:
-        _remove(spark, _WRITTEN.pop())
+        remove(spark, _WRITTEN.pop())
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Best effort at exit: the session may be gone by then."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Best effort: at exit the session may be gone."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from hippolake.storage import remove
+
 #: Events as the log's files hold them.
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -43,7 +45,8 @@ def deduplicated(stream: DataFrame, key: str, at: str = "ts", delay: str = "1 ho
 def latest_state(stream: DataFrame, checkpoint: str, target: str) -> DataStreamWriter:
     """Replays a fact log (fact_id, seq, decay_score) into `target`/state-N, one complete version a batch.
 
-    A batch that is replayed writes the same version again, so the upsert is idempotent.
+    A batch that is replayed writes the same version again, so the upsert is idempotent. It needs the version
+    before it and no older one, so those go.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
@@ -54,6 +57,8 @@ def latest_state(stream: DataFrame, checkpoint: str, target: str) -> DataStreamW
             new = new.unionByName(before.select("fact_id", F.struct("seq", "decay_score").alias("last"), "writes")).groupBy("fact_id").agg(F.max("last").alias("last"), F.sum("writes").alias("writes"))
         out = new.select("fact_id", "last.seq", "last.decay_score", "writes", (F.col("last.decay_score") >= 0.3).alias("is_active"))
         out.write.mode("overwrite").parquet(f"{target}/state-{epoch}")
+        if epoch > 1:
+            remove(spark, f"{target}/state-{epoch - 2}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
