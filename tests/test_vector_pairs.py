@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from hippolake.functions import vectors as V
 from hippolake.plans import retrieval  # noqa: F401  (registers the query)
 from hippolake.plans.catalog import QUERIES
@@ -31,3 +33,31 @@ def test_pairs_across_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
     found = [(r.a, r.b) for r in V.cosine_pairs(df, 0.35, id_col="vec_id", vector_col="embedding").collect()]
     assert len(found) == len(set(found)) and set(found) == brute(list(range(150)), x, 0.35) | {(203, 204)}
+
+
+def test_pairs_of_blocks_in_parts(spark, monkeypatch):
+    """Blocks of many rows, of few, of one and without name; parts of several sizes give the same pairs."""
+    rng = np.random.default_rng(6)
+    rows = [(i, ["big", "big", "big", "small", None][i % 5] if i % 17 else f"own{i}", rng.normal(size=4).tolist()) for i in range(300)] + [(400, "big", None), (None, "big", [1.0, 0.0, 0.0, 0.0]), (401, "big", [0.0] * 4), (402, "big", [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, entity string, v array<double>")
+    whole = [(i, e, np.array(v) / np.linalg.norm(v)) for i, e, v in rows if i is not None and e and v and any(v) and len(v) == 4]
+    expected = {(a[0], b[0], a[1]) for a in whole for b in whole if a[0] < b[0] and a[1] == b[1] and a[2] @ b[2] >= 0.6}
+    for size in (1024, 16):
+        monkeypatch.setattr(V, "BLOCK_ROWS", size)
+        found = [(r.a, r.b, r.entity) for r in V.cosine_pairs(df, 0.6, id_col="id", vector_col="v", block="entity").collect()]
+        assert len(found) == len(set(found)) and set(found) == expected
+
+
+def test_signatures_and_hamming(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(40)] + [(40, None), (41, [1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {(r.id, r.table): r.signature for r in V.signatures(df, 3, 10, 8, id_col="id", vector_col="v").collect()}
+    weights = np.random.default_rng(1).standard_normal((3, 10, 8)).round(6)
+    for i, v in rows:
+        x = np.array(v) if v and len(v) == 8 else np.zeros(8)
+        for t in range(3):
+            assert got[(i, t)] == sum(1 << b for b in range(10) if weights[t, b] @ x >= 0)
+    one, other = got[(0, 0)], got[(1, 0)]
+    distance = spark.range(1).select(V.hamming(F.lit(one), F.lit(other)).alias("d"), V.hamming_similarity(F.lit(5), 10).alias("s")).first()
+    assert distance.d == (one ^ other).bit_count() and abs(distance.s) < 1e-12
