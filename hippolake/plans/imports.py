@@ -65,3 +65,22 @@ def json_log(role):
     files = role("events").groupBy(F.col("user_id").alias("id")).agg(F.array_join(F.collect_list(line), "\n").alias("content"))
     rows = I.json_log(files, "k long")
     return rows.groupBy("id").agg(F.count("*").alias("lines"), F.count_if("broken").alias("broken"), F.sum(F.coalesce("row.k", F.lit(0))).alias("total"))
+
+
+@query("S8_activity_json", """SELECT event_id AS id, 0 AS record_no, event_type || ' ' || event_id AS prompt, event_type AS response, CAST(floor(epoch(ts)) AS BIGINT) AS secs FROM {events} WHERE event_id % 3 <> 0""")
+def activity_json(role):
+    """Each event as a file of one record; those of another product are left out."""
+    at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    header = F.when(F.col("event_id") % 3 == 0, F.lit("Search")).when(F.col("event_id") % 3 == 1, F.lit("Gemini Apps"))
+    html = F.array(F.struct(F.concat(F.lit("<p>"), "event_type", F.lit("</p> ")).alias("html")))
+    title = F.concat(F.lit("Prompted "), "event_type", F.lit(" "), F.col("event_id").cast("string"))
+    files = role("events").select(F.col("event_id").alias("id"), F.to_json(F.array(F.struct(header.alias("header"), title.alias("title"), at.alias("time"), html.alias("safeHtmlItem")))).alias("content"))
+    return I.activity_json(files).withColumnRenamed("at", "secs")
+
+
+@query("S9_activity_html", """SELECT event_id AS id, 1 AS cell_no, event_type || ' & ' || event_id AS prompt, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(floor(epoch(ts)) AS BIGINT) END AS secs FROM {events}""")
+def activity_html(role):
+    """Each event as a page with one prompted cell, every fifth without a date, and a cell of another kind."""
+    at = F.when(F.col("event_id") % 5 == 0, F.lit("some day")).otherwise(F.date_format(F.col("ts").cast("timestamp"), "d MMM yyyy, HH:mm:ss"))
+    cell = F.concat(F.lit('<html><div class="outer-cell">Prompted <b>'), "event_type", F.lit("</b> & "), F.col("event_id").cast("string"), F.lit("<br>"), at, F.lit(' UTC</div><div class="outer-cell">Used nothing</div></html>'))
+    return I.activity_html(role("events").select(F.col("event_id").alias("id"), cell.alias("content"))).withColumnRenamed("at", "secs")
