@@ -160,3 +160,62 @@ def embedding_codec(role):
 @query("FN_session_uuid", f"SELECT c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS session_id FROM (SELECT c_custkey, sha1(unhex('{E.SESSION_NAMESPACE.replace('-', '')}') || encode(c_name)) AS h FROM {{customer}})")
 def session_uuid(role):
     return role("customer").select("c_custkey", E.uuid5(F.col("c_name")).alias("session_id"))
+
+
+# Fixed value: characters of a digest's prompt text.
+PROMPT_CHARS = 2000
+_INDICES = r"^\[(?:[1-9][0-9]*(?:,[1-9][0-9]*)*)?\]$"
+_NAMES = r'^\[(?:"(?:[^"\\]|\\.)*"(?:,"(?:[^"\\]|\\.)*")*)?\]$'
+
+
+def digest_parts(response: Column) -> Column:
+    """struct<error, identity, top, recent, projects> of a response that names claims by their numbers from 1, with or without a fence around it.
+
+    error says what is wrong with it, and is null where nothing is: no object, no identity, or a list that isn't one of positive numbers (of texts).
+    """
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.trim(response), r"^```[^\n]*\n", ""), r"\s*```$", ""))
+    field = lambda name: F.get_json_object(body, f"$.{name}")
+    bad = lambda name, shape: field(name).isNotNull() & ~F.regexp_replace(field(name), r"\s*,\s*", ",").rlike(shape)
+    whole = F.from_json(body, "struct<top_claim_indices:array<int>,recent_decision_indices:array<int>,active_project_names:array<string>>")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    error = (
+        F.when(~F.coalesce(body.rlike(r"(?s)^\{.*\}$"), F.lit(False)) | F.try_parse_json(body).isNull(), "no object")
+        .when(F.coalesce(field("identity"), F.lit("")) == "", "identity")
+        .when(bad("top_claim_indices", _INDICES), "top_claim_indices")
+        .when(bad("recent_decision_indices", _INDICES), "recent_decision_indices")
+        .when(bad("active_project_names", _NAMES), "active_project_names")
+    )
+    return F.struct(
+        error.alias("error"), field("identity").alias("identity"), F.coalesce(whole["top_claim_indices"], none("int")).alias("top"),
+        F.coalesce(whole["recent_decision_indices"], none("int")).alias("recent"), F.coalesce(whole["active_project_names"], none("string")).alias("projects"),
+    )
+
+
+def digest_prompt(parts: Column, claims: Column) -> Column:
+    """The prompt text of a parsed response over an array of texts; null where it has an error or a number beyond them."""
+    within = F.forall(F.concat(parts["top"], parts["recent"]), lambda i: i <= F.size(claims))
+    lines = lambda numbers: F.array_join(F.transform(numbers, lambda i: F.concat(F.lit("- "), F.get(claims, i - 1), F.lit("\n"))), "")
+    section = lambda title, numbers: F.when(F.size(numbers) > 0, F.concat(F.lit(title), lines(numbers))).otherwise("")
+    projects = F.when(F.size(parts["projects"]) > 0, F.concat(F.lit("\nActive projects: "), F.array_join(parts["projects"], ", "), F.lit("\n"))).otherwise("")
+    text = F.concat(F.trim(parts["identity"]), section("\n\nKey facts:\n", parts["top"]), section("\nRecent decisions:\n", parts["recent"]), projects)
+    return F.when(parts["error"].isNull() & within, F.substring(F.regexp_replace(text, r"\s+$", ""), 1, PROMPT_CHARS))
+
+
+@query("C20_digest_assembly", f"""
+WITH c AS (SELECT owner, id, 'fact ' || id || ' of ' || source AS t, row_number() OVER (PARTITION BY owner ORDER BY created_at DESC, id) AS k FROM {{facts}}),
+l AS (SELECT owner, list(t ORDER BY k) AS t FROM c WHERE k <= 10 GROUP BY 1)
+SELECT owner, CASE owner WHEN 3 THEN 'no object' WHEN 4 THEN 'identity' WHEN 5 THEN 'top_claim_indices' END AS error,
+ CASE WHEN owner IN (3, 4, 5, 6) THEN NULL ELSE 'Owner ' || owner || chr(10) || chr(10) || 'Key facts:' || chr(10) || '- ' || t[1] || chr(10) || '- ' || t[3] || chr(10) || chr(10) || 'Recent decisions:' || chr(10) || '- ' || t[2] || CASE WHEN owner = 2 THEN chr(10) || chr(10) || 'Active projects: a, b' ELSE '' END END AS prompt FROM l""".replace("{{", "{").replace("}}", "}"))
+def digest_assembly(role):
+    """A response for each owner, good and bad ones, put together with the owner's ten newest facts."""
+    newest = F.row_number().over(W.partitionBy("owner").orderBy(F.desc("created_at"), "id"))
+    claims = role("facts").withColumn("k", newest).filter("k <= 10").withColumn("t", F.concat(F.lit("fact "), F.col("id").cast("string"), F.lit(" of "), "source"))
+    held = claims.groupBy("owner").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("claims"))
+    owner = F.col("owner")
+    good = F.format_string('{"identity": " Owner %d ", "top_claim_indices": [1, 3], "recent_decision_indices": [2]}', owner)
+    response = (
+        F.when(owner == 0, good).when(owner == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```"))).when(owner == 2, F.regexp_replace(good, r"\}$", ', "active_project_names": ["a", "b"]}'))
+        .when(owner == 3, F.lit("I can't say.")).when(owner == 4, F.lit('{"top_claim_indices": []}')).when(owner == 5, F.regexp_replace(good, r"\[1, 3\]", "[0, 1]")).otherwise(F.regexp_replace(good, r"\[2\]", "[11]"))
+    )
+    made = held.withColumn("parts", digest_parts(response))
+    return made.select("owner", F.col("parts.error").alias("error"), digest_prompt(F.col("parts"), F.col("claims")).alias("prompt"))
