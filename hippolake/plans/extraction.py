@@ -219,3 +219,42 @@ def digest_assembly(role):
     )
     made = held.withColumn("parts", digest_parts(response))
     return made.select("owner", F.col("parts.error").alias("error"), digest_prompt(F.col("parts"), F.col("claims")).alias("prompt"))
+
+
+def salvaged(response: Column, opens: str) -> Column:
+    """The JSON object ('{') or array ('[') in a response: all of it, within a fence, or from the first mark that opens one to the last that closes one; null if that isn't JSON."""
+    body = F.regexp_replace(F.regexp_replace(F.trim(response), r"^```[^\n]*\n", ""), r"\s*```$", "")
+    found = F.regexp_extract(body, r"(?s)\{.*\}" if opens == "{" else r"(?s)\[.*\]", 0)
+    return F.when((found != "") & F.try_parse_json(found).isNotNull(), found)
+
+
+def triage(response: Column) -> Column:
+    """array<struct<chunk, decision, reason>> of a response about chunks; what isn't said to be skipped is extracted, and entries without a number are left out."""
+    entry = "struct<index:bigint,chunk_index:bigint,decision:string,reason:string>"
+    entries = F.coalesce(F.from_json(salvaged(response, "["), f"array<{entry}>"), F.array().cast(f"array<{entry}>"))
+    named = F.transform(entries, lambda e: F.struct(F.coalesce(e["index"], e["chunk_index"]).alias("chunk"), F.when(F.upper(e["decision"]) == "SKIP", "SKIP").otherwise("EXTRACT").alias("decision"), F.coalesce(e["reason"], F.lit("")).alias("reason")))
+    return F.filter(named, lambda e: e["chunk"] >= 0)
+
+
+PROFILE_LISTS = ("themes", "projects", "stack", "decisions", "interests", "skip_patterns")
+
+
+def profile(response: Column) -> Column:
+    """struct of identity (null if it says nothing) and PROFILE_LISTS of a response; all empty where no object can be made out."""
+    read = F.from_json(salvaged(response, "{"), "struct<identity:string," + ",".join(f"{p}:array<string>" for p in PROFILE_LISTS) + ">")
+    lists = [F.filter(F.coalesce(read[p], F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != "")).alias(p) for p in PROFILE_LISTS]
+    return F.struct(F.when(~read["identity"].isin("", "null"), read["identity"]).alias("identity"), *lists)
+
+
+@query("C33_triage_and_profile", """
+SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN 0 ELSE 2 END AS decisions, CASE WHEN turn % 4 <> 3 AND role = 'user' THEN 1 ELSE 0 END AS skipped, CASE WHEN turn % 4 = 3 OR role = 'system' THEN NULL ELSE role END AS identity, CASE WHEN turn % 4 = 3 THEN '' ELSE 'a,' || role END AS themes FROM {conversations}""")
+def triage_and_profile(role):
+    """Responses about each turn's chunks and user: bare, in a fence, with talk around them, and cut short."""
+    who, kind = F.col("role"), F.col("turn") % 4
+    said = F.when(who == "user", "skip").otherwise("Keep")
+    about = F.concat(F.lit('[{"index": 0, "decision": "'), said, F.lit('", "reason": "[r]"}, {"chunk_index": 1}, {"decision": "SKIP"}]'))
+    user = F.concat(F.lit('{"identity": "'), F.when(who == "system", "null").otherwise(who), F.lit('", "themes": ["a", "", "'), who, F.lit('"], "other": {"x": 1}}'))
+    shaped = lambda text: F.when(kind == 0, text).when(kind == 1, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Here it is: "), text, F.lit(" Done."))).otherwise(F.expr("NULL").cast("string"))
+    cut = lambda text: F.coalesce(shaped(text), F.substring(text, 1, 20))
+    made = role("conversations").select("conv_id", "turn", triage(cut(about)).alias("t"), profile(cut(user)).alias("p"))
+    return made.select("conv_id", "turn", F.size("t").alias("decisions"), F.size(F.filter("t", lambda e: e["decision"] == "SKIP")).alias("skipped"), F.col("p.identity").alias("identity"), F.array_join("p.themes", ",").alias("themes"))
