@@ -284,7 +284,9 @@ def relevance_gate(role):
     return rows.groupBy("query_id").agg((F.max("cosine") >= 0.15).alias("relevant"))
 
 
-@query("J4_lsh_buckets")
+@query("J4_lsh_buckets", """
+WITH units AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM {embeddings})
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS cosine FROM units a JOIN units b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.v, b.v), 12) >= 0.35""")
 def lsh_buckets(role):
     """All pairs with a cosine of at least 0.35.
 
