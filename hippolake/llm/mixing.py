@@ -23,7 +23,7 @@ from hippolake.storage import materialize
 #: The weights of the sources in order, repeated.
 WEIGHTS = (5, 2, 1)
 #: Words of an output shard, about.
-SHARD_WORDS = 20_000_000
+SHARD_WORDS = 2_000_000
 #: Numbers of the table of sources and shards that the driver splits; shards grow beyond SHARD_WORDS to keep to it.
 MOST_QUOTAS = 4_000_000
 #: Sources that the driver plans for; more are refused.
