@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hippolake.llm.text import WORD_HASHES
 from hippolake.storage import materialize
 
 #: Rows ranked at once, but for one cell a length.
@@ -146,6 +147,9 @@ def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capa
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A worker may come from an earlier stage: what that left in memory isn't needed beside a vocabulary.
+        WORD_HASHES.clear()
+        pa.default_memory_pool().release_unused()
         if tokenizer not in _LOADED:
             _LOADED[tokenizer] = SegmentIds(tokenizer)
         encode = _LOADED[tokenizer]
