@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hippolake.llm import chat, fingerprints, mixing, near_dups, packing, pii, quality, secrets, topk, url_filters
-from hippolake.llm.sql import CHAT_SQL, MIXING_SQL, NEAR_SQL, TOPK_SQL, URL_SQL, secrets_sql
+from hippolake.llm import chat, filter_audit, fingerprints, mixing, near_dups, packing, pii, quality, secrets, topk, url_filters
+from hippolake.llm.sql import AUDIT_SQL, CHAT_SQL, MIXING_SQL, NEAR_SQL, TOPK_SQL, URL_SQL, secrets_sql
 from hippolake.storage import table
 
 
@@ -66,6 +66,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_near_dups": op9_near_dups,
     "op10_mixing": op10_mixing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -86,4 +91,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_format": CHAT_SQL,
     "op9_near_dups": NEAR_SQL,
     "op10_mixing": MIXING_SQL,
+    "op13_filter_audit": AUDIT_SQL,
 }

@@ -158,3 +158,49 @@ WITH whole AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+AUDIT_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), worded AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM texts
+), marked AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         list_filter([CASE WHEN len(words) < 200 THEN 'A' END,
+                      CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+                      CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text) THEN 'C' END,
+                      CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+                      CASE WHEN doc_id > first THEN 'E' END], lambda x: x IS NOT NULL) AS failed
+  FROM worded LEFT JOIN marked USING (doc_id)
+), counted AS (
+  SELECT part, failed, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, failed
+), letters(f) AS (
+  VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, string_split(filter_order[1:step - 1], '') AS before
+  FROM orders, range(1, 6) t(step)
+), cells AS (
+  SELECT part, filter_order, step, f, docs, good, toxic, failed,
+         list_contains(failed, f) AS fails, len(list_intersect(failed, before)) > 0 AS gone
+  FROM counted, steps
+), rows AS (
+  SELECT part, filter_order, step, f,
+         CAST(coalesce(sum(docs) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept,
+         CAST(coalesce(sum(docs) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(docs) FILTER (fails AND gone), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(docs) FILTER (failed = [f]), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost,
+         CAST(coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM cells GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM rows
+"""
