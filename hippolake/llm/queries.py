@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hippolake.llm import chat, filter_audit, fingerprints, mixing, near_dups, packing, pii, quality, secrets, topk, url_filters
+from hippolake.llm import chat, filter_audit, fingerprints, mixing, near_dups, packing, pii, quality, secrets, topk, url_filters, whitening
 from hippolake.llm.sql import AUDIT_SQL, CHAT_SQL, MIXING_SQL, NEAR_SQL, TOPK_SQL, URL_SQL, secrets_sql
 from hippolake.storage import table
 
@@ -66,6 +66,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.to_integers(table(spark, sf_dir, "embeddings"))
+    return whitening.transform(rows, whitening.fit(rows, k=16))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_near_dups": op9_near_dups,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
 
