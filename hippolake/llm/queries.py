@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hippolake.llm import chat, filter_audit, fingerprints, mixing, near_dups, packing, pii, quality, secrets, topk, url_filters, whitening
-from hippolake.llm.sql import AUDIT_SQL, CHAT_SQL, MIXING_SQL, NEAR_SQL, TOPK_SQL, URL_SQL, secrets_sql
-from hippolake.storage import table
+from hippolake.llm import chat, filter_audit, fingerprints, main_text, mixing, near_dups, packing, pii, quality, secrets, topk, url_filters, whitening
+from hippolake.llm.sql import AUDIT_SQL, CHAT_SQL, MAIN_TEXT_SQL, MIXING_SQL, NEAR_SQL, TOPK_SQL, URL_SQL, secrets_sql
+from hippolake.storage import spread, table
 
 
 #: A conversation whose texts look like the template's own marks.
@@ -71,6 +71,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.transform(rows, whitening.fit(rows, k=16))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(spread(table(spark, sf_dir, "pages")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dups": op9_near_dups,
     "op10_mixing": op10_mixing,
     "op11_whitening": op11_whitening,
+    "op12_main_text": op12_main_text,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -97,5 +102,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_format": CHAT_SQL,
     "op9_near_dups": NEAR_SQL,
     "op10_mixing": MIXING_SQL,
+    "op12_main_text": MAIN_TEXT_SQL,
     "op13_filter_audit": AUDIT_SQL,
 }

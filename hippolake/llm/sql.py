@@ -204,3 +204,17 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
 FROM rows
 """
+
+#: The tables' pages mark their article, so SQL can cut it out and take its markup off, without any classifier or cut.
+MAIN_TEXT_SQL = r"""
+WITH cut AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS inner_html FROM pages
+), bare AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(inner_html, '<(/?p|/?h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS text FROM cut
+), decoded AS (
+  SELECT page_id, url, regexp_replace(replace(replace(replace(text, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS text FROM bare
+), folded AS (
+  SELECT page_id, url, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM decoded
+)
+SELECT page_id, url, text, CAST(len(text) AS BIGINT) AS n_chars FROM folded
+"""
