@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hippolake.llm import chat, filter_audit, fingerprints, main_text, mixing, near_dups, packing, pii, quality, secrets, topk, url_filters, whitening
 from hippolake.llm.sql import AUDIT_SQL, CHAT_SQL, MAIN_TEXT_SQL, MIXING_SQL, NEAR_SQL, TOPK_SQL, URL_SQL, secrets_sql
-from hippolake.storage import spread, table
+from hippolake.storage import table
 
 
 #: A conversation whose texts look like the template's own marks.
@@ -72,7 +72,7 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text.extract(spread(table(spark, sf_dir, "pages")))
+    return main_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
