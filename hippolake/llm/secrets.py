@@ -48,7 +48,8 @@ RULES = (
     Rule("slack", "xox[abeprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", "AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", "[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}"),
+    # Behind a token's character no other token starts, and a run isn't given back: else each start in a run would be tried to its end.
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}"),
 )
 
 #: A run of literal text may be this many different strings at most; beyond, it ends.
