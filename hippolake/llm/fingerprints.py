@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hippolake.functions.arrays import once
-from hippolake.llm.text import BLANK, ascii_lower
+from hippolake.llm.text import BLANK, BLANKS, ascii_lower
 from hippolake.storage import materialize
 
 BITS = 128
@@ -35,7 +35,7 @@ NEAR_BITS = 3
 
 def terms(text: Column) -> Column:
     """array<long>: hashes of the neighbouring pairs of words; of the word if there is one; empty if none."""
-    clean = F.regexp_replace(ascii_lower(text), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
+    clean = F.trim(ascii_lower(text), F.lit(BLANKS))  # an expression anchored at the end would try each blank of an inner run as a start
     words = F.split(clean, BLANK, -1)
     pairs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))
     held = F.transform(F.array(words), pairs)  # the words are split once, not at each use
@@ -104,11 +104,12 @@ def with_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     cuts = rows.agg(F.percentile_approx("doc_id", [i / stretches for i in range(1, stretches)] or [0.5], max(10_000, 4 * stretches))).first()[0] if stretches > 1 else []
     dealt = rows.withColumn("stretch", stretch_of(F.col("doc_id"), sorted(set(cuts or []))))
 
-    # The first text of the following stretch, for the last row of each; one row per stretch.
+    # The first text of the following stretch, for the last row of each; one row per stretch. Only stretch numbers are lined up.
     firsts = dealt.groupBy("stretch").agg(F.min_by("text", F.struct("doc_id", "text")).alias("first_text"))
     line = W.orderBy("stretch")
     around = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    firsts = firsts.select(F.col("stretch").alias("of"), F.coalesce(F.lead("first_text").over(line), F.first("first_text").over(around)).alias("first_text"))
+    followers = dealt.select("stretch").distinct().select(F.col("stretch").alias("of"), F.coalesce(F.lead("stretch").over(line), F.first("stretch").over(around)).alias("stretch"))
+    firsts = followers.join(firsts, "stretch").select("of", "first_text")
 
     order = W.partitionBy("stretch").orderBy("doc_id", "text")
     placed = dealt.withColumn("place", F.row_number().over(order)).withColumn("following", F.lead("text").over(order)).withColumn("last", F.lead(F.lit(True)).over(order).isNull())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: What separates words: space and the ASCII control blanks, nothing else.
 BLANK = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
