@@ -21,13 +21,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hippolake.llm.text import WORD_HASHES
-from hippolake.storage import materialize
+from hippolake.storage import arrow_batches, materialize
 
 #: Rows ranked at once, but for one cell a length.
 CELL_ROWS = 1_000
 #: Characters of a segment that tiktoken is given.
 LONG = 10_000
 
+#: Bytes of a generation of remembered segments, and what an entry takes besides its characters.
+MEMO_BYTES, ENTRY_BYTES = 12 << 20, 200
+#: Bytes of texts that a worker is handed at once, and of ids that it hands on.
+BATCH_BYTES = 4 << 20
+
 #: Per-worker tokenizers by path.
 _LOADED: dict[str, "SegmentIds"] = {}
 
@@ -51,7 +56,7 @@ class SegmentIds:
     on long runs of one class of characters.
     """
 
-    def __init__(self, path: str, limit: int = 100_000):
+    def __init__(self, path: str, limit: int = MEMO_BYTES):
         import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -116,11 +121,11 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Values by key, made when first asked for. Two generations of `limit` short keys bound it: what is asked for again moves to the young one."""
+    """Values by key, made when first asked for. Two generations of about `limit` bytes bound it: what is asked for again moves to the young one."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.held, self.old = make, limit, 0, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
@@ -128,10 +133,12 @@ class _Memo(dict):
             value = self.make(key)
             if len(key) > 64:  # long segments seldom recur
                 return value
-        if len(self) >= self.limit:
+        if self.held >= self.limit:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[key] = value
+        self.held += ENTRY_BYTES + 2 * len(key) + len(value)
         return value
 
 
@@ -166,7 +173,7 @@ def cut(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capa
                     for column, value in zip(out, (key, at // 4, len(part) // 4, total, part), strict=True):
                         column.append(value)
                 held += len(ids)
-                if held > 8 << 20:
+                if held > BATCH_BYTES:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
                     out, held = [[], [], [], [], []], 0
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
@@ -244,21 +251,28 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     length is a power of two needs no padding, others are padded to `capacity`. An empty table
     gives no rows; repeated rows are packed as often as they occur. Pieces of one length take places
     in any order, so which of them share a sequence may differ between runs; how long sequences are
-    doesn't. Texts of any length, and runs of blanks in them, are encoded whole. keep_ids=False leaves
+    doesn't. Numbers of sequences are unique but leave gaps. Texts of any length, and runs of blanks in them, are encoded whole. keep_ids=False leaves
     the ids out (the checksum stays) for callers that only plan.
     """
     cut_ = cut(docs, id_col=id_col, text_col=text_col, capacity=capacity, tokenizer=tokenizer, end_id=end_id)
     cut_ = cut_.withColumn("ids_crc32", F.crc32("ids"))
-    # The number that tells equal rows apart is written down with them, so it stays the same when they are read twice.
-    pieces = materialize((cut_ if keep_ids else cut_.drop("ids")).withColumn("twin", F.monotonically_increasing_id() % 4096), "pieces")
+    # The number that tells rows apart is written down with them, so it stays the same when they are read twice.
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        pieces = materialize((cut_ if keep_ids else cut_.drop("ids")).withColumn("number", F.monotonically_increasing_id()), "pieces")
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    places = spark.createDataFrame(slots(patterns(histogram, capacity), capacity), "length long, first_rank long, ranks long, first_sequence long, offset long, padded_to long")
+    # A full piece, as nearly all of long texts are, has a sequence of its own: no rank is needed, its number will do.
+    histogram.pop(capacity, None)
+    packs = patterns(histogram, capacity)
+    places = spark.createDataFrame(slots(packs, capacity), "length long, first_rank long, ranks long, first_sequence long, offset long, padded_to long")
+    full = pieces.filter(F.col("length") == capacity).withColumns({"offset": F.lit(0).cast("long"), "padded_to": F.lit(capacity).cast("long"), "sequence_id": F.lit(sum(n for _, n in packs)) + F.col("number")}).drop("number")
+    rest = pieces.filter(F.col("length") < capacity).withColumn("twin", F.col("number") % 4096).drop("number")
     # The number of places depends on the lengths and on how patterns were split, both bounded by capacity squared, whatever the corpus.
-    return (
-        ranked(pieces, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"])
+    packed = (
+        ranked(rest, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"])
         .join(F.broadcast(places), "length")
         .filter((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("ranks")))
         .withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("first_rank"))
         .drop("rank", "first_rank", "ranks", "first_sequence")
     )
+    return packed.unionByName(full)
