@@ -173,18 +173,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on the rows that aren't held out.
 
     Positives: labelled 1 (a document labelled both ways is none). Unlabelled: all documents, with no
-    regard to their labels. Of each about fit_* rows at most, chosen by a hash of the id, are fitted
+    regard to their labels. Of each about fit_* rows at most, chosen by a hash of id and text, are fitted
     on: each row's own hash decides, so no task gathers them, and their number is that bound but for a
-    few in a hundred. Without positives or documents the model scores all alike.
+    few in a hundred. Rows repeated with id and text count once among the chosen. Without positives or documents the model scores all alike.
     """
     trusted = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0)).groupBy(F.col("doc_id").alias("known_id")).agg(F.min("quality").alias("quality")).filter("quality = 1")
-    good = trusted.count()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id")) != 0))
-    n = rows.count()
+    good_rows = rows.join(trusted, F.col("doc_id") == F.col("known_id"), "left_semi")
     steps = 1 << 20
-    within = lambda key, seed, most, of: F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(steps)) < (steps if of <= most else int(steps * 0.95 * most / of))
-    positives = rows.join(trusted.filter(within("known_id", 1, fit_positives, good)), F.col("doc_id") == F.col("known_id"), "left_semi")
-    either = positives.select("text", F.lit(True).alias("positive")).unionByName(rows.filter(within("doc_id", 2, fit_unlabelled, n)).select("text", F.lit(False).alias("positive")))
+
+    def chosen(among: DataFrame, seed: int, most: int) -> DataFrame:
+        """About `most` rows at most: each (id, text) by its own hash, and once, however often it is repeated."""
+        n = among.count()
+        share = steps if n <= most else int(steps * 0.95 * most / n)
+        own = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(seed))
+        return among.filter(F.pmod(own, F.lit(steps)) < share).dropDuplicates(["doc_id", "text"]).select("text", F.lit(seed == 1).alias("positive"))
+
+    either = chosen(good_rows, 1, fit_positives).unionByName(chosen(rows, 2, fit_unlabelled))
     got = either.mapInArrow(_feature_rows, "positive boolean, x array<double>").toArrow()
     flag = got.column("positive").to_numpy()
     x = got.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
