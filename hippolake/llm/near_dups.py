@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, CalendarIntervalType, DataType, MapType, StructType, VariantType
 
 from hippolake.llm.components import components
 from hippolake.llm.text import WORD, WORD_HASHES, mix64, shingle_hashes, words_of
@@ -310,11 +311,15 @@ def _regions(percent: int, how: str):
             r = _Region(table, percent)
             end = r.edges()[-2]
             keep = rows - end
-            if how != "all" and not end:  # a crowded region: its rows need no more than the neighbours before them
+            crowded = how != "all" and not end  # its rows need no more than the neighbours before them
+            if crowded:
                 end, keep = rows, NEIGHBOURS
             if end:
                 yield from handle(r, end)
-                held, rows = table.slice(table.num_rows - keep).combine_chunks().to_batches(), keep
+                rest = table.slice(table.num_rows - keep)
+                if crowded:  # and so does what follows of it, however little that is
+                    rest = rest.set_column(rest.schema.get_field_index("wide"), "wide", pa.array([True] * keep))
+                held, rows = rest.combine_chunks().to_batches(), keep
         if held:
             r = _Region(pa.Table.from_batches(held).combine_chunks(), percent)
             yield from handle(r, len(r.node))
@@ -415,6 +420,15 @@ def group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wi
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def _has_order(kind: DataType) -> bool:
+    """Whether Spark can order values of this type; it can't order maps, intervals of calendars and variants."""
+    if isinstance(kind, StructType):
+        return all(_has_order(f.dataType) for f in kind)
+    if isinstance(kind, ArrayType):
+        return _has_order(kind.elementType)
+    return not isinstance(kind, (MapType, CalendarIntervalType, VariantType))
+
+
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest id, without id last, then by its text's digest.
 
@@ -427,6 +441,11 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     best = nodes.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("best_id"), F.col("first.text_key").alias("best_key"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(text)).alias("key"), text.rlike(WORD).alias("worded"))
-    one = rows.filter("worded").groupBy("id", "key").agg(F.min("row").alias("row"))
+    # Rows are ordered by the columns that have an order, then by the others written as JSON.
+    ordered, others = [], []
+    for field in docs.schema:
+        (ordered if _has_order(field.dataType) else others).append(F.col("row")[field.name])
+    by = F.struct(*[c.alias(f"c{i}") for i, c in enumerate([*ordered, *([F.to_json(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(others)]))] if others else [])])])
+    one = rows.filter("worded").groupBy("id", "key").agg(F.min_by("row", by).alias("row"))
     stay = one.join(best.hint("merge"), F.col("id").eqNullSafe(F.col("best_id")) & (F.col("key") == F.col("best_key")), "left_semi")
     return stay.select("row.*").unionByName(rows.filter(~F.col("worded")).select("row.*"))
