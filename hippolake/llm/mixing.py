@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     Columns: doc_id, source, size, source_size, target, copies, shards (one per copy), order_key,
     and the `payload` columns of docs as a struct. Sources are weighed in code point order, null
     last; a source without words has target 0. Null and blank texts have size 0 and are drawn with
-    their block. Repeated rows are drawn each for itself, ties between equal rows don't matter;
+    their block. Repeated rows are drawn each for itself;
     extra columns are not read. An empty table gives an empty plan. The same rows give the same
     plan, however they are partitioned.
 
@@ -90,8 +91,8 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     """
     spark = docs.sparkSession
     kept = F.struct(*[F.col(f"`{c}`") for c in payload]) if payload else F.lit(None).cast("struct<none:int>")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), kept.alias("payload"))
-    rows = rows.withColumn("order_key", _keyed(seed, F.col("doc_id"), F.col("size")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.col(text_col)).alias("digest"), kept.alias("payload"))
+    rows = rows.withColumn("order_key", _keyed(seed, F.col("doc_id"), F.col("size"), F.col("digest"))).drop("digest")
     rows = materialize(rows, "sized") if not payload else rows
 
     found = sorted(rows.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
@@ -140,24 +141,31 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     times = (F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")
     counted = {r["source"]: r["n"] for r in blocks.groupBy("source").agg(F.sum(times).alias("n")).collect()}
     quotas = split(np.array([counted.get(r["source"], 0) for r in found], np.int64), shards, seed) if found else np.zeros((shards, 0), np.int64)
-    bounds = [(r["source"], np.cumsum(quotas[:, i]).tolist()) for i, r in enumerate(found)]
-    bounds = spark.createDataFrame(bounds, f"s {dict(rows.dtypes)['source']}, bounds array<long>")
-    units = blocks.join(bounds, blocks["source"].eqNullSafe(bounds["s"])).drop("s")
+    # Where each shard's run of a source's units ends: at most MOST_QUOTAS numbers, and a source's row in them.
+    ends_of_runs = spark.sparkContext.broadcast(np.cumsum(quotas, axis=0).T.copy())
+    place_of = spark.createDataFrame([(r["source"], i) for i, r in enumerate(found)], f"s {dict(rows.dtypes)['source']}, i int")
+    units = blocks.join(place_of, blocks["source"].eqNullSafe(place_of["s"])).drop("s")
     ends = F.sum(times).over(W.partitionBy("source").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    units = units.withColumn("first_unit", ends - times)
-    # The shard whose run of the source's units holds unit k; none beyond the last run, as it is when all quotas are dealt.
-    in_shard = lambda k: F.size(F.filter("bounds", lambda b: b <= F.col("first_unit") + k))
-    dealt = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(times - 1, F.lit(0))), in_shard), lambda s: s < F.size("bounds"))
-    block_shards = F.when(times > 0, dealt).otherwise(F.array().cast("array<int>"))
-    units = units.select(F.col("source").alias("us"), F.col("block").alias("ub"), "part", block_shards.alias("block_shards"))
+
+    @F.arrow_udf("array<int>")
+    def in_shards(source: pa.Array, first: pa.Array, count: pa.Array) -> pa.Array:
+        """The shard whose run holds each of the block's units; none beyond the last run, as it is when all quotas are dealt."""
+        source, first, count = (c.to_numpy(zero_copy_only=False) for c in (source, first, count))
+        runs = ends_of_runs.value
+        shards_of = [np.searchsorted(runs[i], np.arange(at, at + n), "right") for i, at, n in zip(source, first, count, strict=True)]
+        return pa.array([s[s < runs.shape[1]] for s in shards_of], pa.list_(pa.int32()))
+
+    units = units.withColumn("block_shards", in_shards(F.col("i"), ends - times, times)).drop("i")
+    units = units.select(F.col("source").alias("us"), F.col("block").alias("ub"), "part", "block_shards")
 
     units = units.join(drawn, units["us"].eqNullSafe(drawn["ds"]) & (F.col("part") == 1), "left").drop("ds")
     # Joined on plain columns, so that the window below finds its rows together already; the documents are dealt once.
     units = units.select(F.col("us").isNull().alias("un"), F.coalesce("us", F.lit("")).alias("uk"), "ub", "part", "block_shards", "cut", "n_cut", "best", "n_best")
     placed = placed.withColumn("none", F.col("source").isNull()).withColumn("named", F.coalesce("source", F.lit("")))
     out = placed.join(units, (placed["none"] == units["un"]) & (placed["named"] == units["uk"]) & (placed["block"] == units["ub"])).drop("un", "uk", "ub")
-    # Equal rows are told apart by their number, so that as many are drawn as fit.
-    twin = F.row_number().over(W.partitionBy("none", "named", "block", "order_key", "doc_id", "size").orderBy(F.lit(1)))
+    # Equal rows are told apart by their number, so that as many are drawn as fit; where some may be left out, by their other columns first.
+    other = F.when(F.col("part") == 1, F.md5(F.to_json("payload"))) if payload else F.lit(1)
+    twin = F.row_number().over(W.partitionBy("none", "named", "block", "order_key", "doc_id", "size").orderBy(other))
     out = out.withColumn("twin", twin)
     fits = (key < F.col("cut")) | ((key == F.col("cut")) & (F.col("twin") <= F.col("n_cut"))) | ((key == F.col("best")) & (F.col("twin") <= F.col("n_best")))
     # In the block in which the rest falls, what doesn't fit is left out of the last draw.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 URL_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -25,9 +27,9 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM fi
 
 MIXING_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, md5(text) AS digest, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), keyed AS (
-  SELECT *, md5(concat_ws('|', '7', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR))) AS order_key FROM sized
+  SELECT *, md5(concat_ws('|', '7', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(size AS VARCHAR), coalesce(digest, ''))) AS order_key FROM sized
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM keyed GROUP BY source
 ), weighed AS (
@@ -84,12 +86,16 @@ def _secret_kinds() -> list[str]:
 
     out = []
     for place, rule in enumerate(RULES):
-        p = rule.pattern.replace("'", "''")
-        m, g, t = f"regexp_extract_all(text, '{p}')", f"string_split_regex(text, '{p}')", f"regexp_extract_all(text, '{p}', {rule.group})"
+        # DuckDB's expressions look neither back nor ahead and never try anything twice: a guard becomes a group before the match.
+        guarded = re.match(r"\(\?<!\[([^\]]*)\]\)(.*)", rule.pattern)
+        p, lead = (f"(^|[^{guarded[1]}]){guarded[2].replace('}+', '}')}", 1) if guarded else (rule.pattern, 0)
+        p = p.replace("'", "''")
+        found = lambda group: f"regexp_extract_all(text, '{p}', {group})"  # noqa: E731, B023
+        before = found(1) if lead else "list_transform(m, lambda x: '')"
         start = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
         out.append(
-            f"SELECT doc_id, row_id, {place} AS place, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, CAST({start} AS BIGINT) AS first, CAST({start} + length(m[i]) AS BIGINT) AS last, length(t[i]) >= {rule.at_least} AS counts "
-            f"FROM (SELECT doc_id, row_id, m, g, t, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, row_id, {m} AS m, {g} AS g, {t} AS t FROM texts))"
+            f"SELECT doc_id, row_id, {place} AS place, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, CAST({start} + length(b[i]) AS BIGINT) AS first, CAST({start} + length(m[i]) AS BIGINT) AS last, length(t[i]) >= {rule.at_least} AS counts "
+            f"FROM (SELECT doc_id, row_id, m, g, t, {before} AS b, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, row_id, text, {found(0)} AS m, string_split_regex(text, '{p}') AS g, {found(rule.group)} AS t FROM texts))"
         )
     return out
 
