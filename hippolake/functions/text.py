@@ -20,10 +20,14 @@ def tokens(text: Column, *, least_bytes: int = 2) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda t: F.octet_length(t) >= least_bytes)
 
 
+def is_ranked(token: Column, least_chars: int = 2, stop_words: list[str] | None = None) -> Column:
+    """Whether a token has so many characters and isn't a stop word."""
+    return (F.length(token) >= least_chars) & ~token.isin(STOP_WORDS if stop_words is None else stop_words)
+
+
 def tokens_without_stops(text: Column, *, least_chars: int = 2, stop_words: list[str] | None = None) -> Column:
     """Tokens counted in characters, without stop words."""
-    stops = F.array(*map(F.lit, STOP_WORDS if stop_words is None else stop_words))
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda t: (F.length(t) >= least_chars) & ~F.array_contains(stops, t))
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda t: is_ranked(t, least_chars, stop_words))
 
 
 def plain_tokens(text: Column) -> Column:
@@ -71,7 +75,10 @@ def collapse(text: Column) -> Column:
 
 def strip_fences(text: Column) -> Column:
     """The body of a fenced code block, or the text."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    body = F.regexp_replace(F.trim(text), r"^```(?:json)?\s*+", "")
+    # Blanks before the closing fence go with the last trim, not with an expression that would try each blank of an inner run as a start.
+    closed = F.when(body.endswith("```"), F.rtrim(F.substr(body, F.lit(1), F.length(body) - 3), F.lit(" \t\n\x0b\x0c\r"))).otherwise(body)
+    return F.trim(closed)
 
 
 def strip_html(text: Column) -> Column:

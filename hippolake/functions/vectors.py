@@ -1,9 +1,9 @@
-"""Column functions over vectors, and hyperplane hashing."""
+"""Column functions over vectors, and pairs of similar ones."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,38 +18,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(usable & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
-def planes(spark: SparkSession, tables: int, bits: int, dims: int, seed: int = 1) -> DataFrame:
-    """(table, bit, dim, weight): normal weights of tables * bits hyperplanes, the same for the same seed."""
-    rng = np.random.default_rng(seed)
-    weights = rng.standard_normal((tables, bits, dims)).round(6)
-    rows = [(t, b, d, float(weights[t, b, d])) for t in range(tables) for b in range(bits) for d in range(dims)]
-    return spark.createDataFrame(rows, "table int, bit int, dim int, weight double")
-
-
-def signatures(vectors: DataFrame, tables: int, bits: int, dims: int, *, id_col: str, vector_col: str, seed: int = 1) -> DataFrame:
-    """id, table, signature (long): on which side of each of a table's hyperplanes the vector lies.
-
-    One Arrow batch at a time is multiplied with all planes, whose number is a parameter.
-    """
-    rng = np.random.default_rng(seed)
-    weights = rng.standard_normal((tables, bits, dims)).round(6).reshape(tables * bits, dims)
-    powers = (1 << np.arange(bits)).astype(np.int64)
-
-    @F.arrow_udf("array<long>")
-    def sign(values):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        # Vectors of another length lie where zeros do.
-        fits = pc.fill_null(pc.equal(pc.list_value_length(values), dims), False).to_numpy(zero_copy_only=False)
-        x = np.zeros((len(values), dims))
-        x[fits] = values.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
-        side = ((x @ weights.T >= 0).reshape(len(x), tables, bits) * powers).sum(axis=2)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(side.ravel()))
-
-    return vectors.select(F.col(id_col), F.posexplode(sign(vector_col)).alias("table", "signature"))
-
-
 #: Rows of a block whose pairs are multiplied at once.
 BLOCK_ROWS = 1024
 
@@ -111,3 +79,32 @@ def hamming(a: Column, b: Column) -> Column:
 def hamming_similarity(distance: Column, bits: int) -> Column:
     """The cosine that a Hamming distance between hyperplane signatures suggests."""
     return F.cos(F.lit(float(np.pi)) * distance / bits)
+
+
+def cosine_hits(queries: DataFrame, vectors: DataFrame, least: float, *, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, id: each vector but the query's own with at least this cosine (rounded to 12 places) to each query: the plain answer that indexes are measured by.
+
+    Queries are dealt to blocks of about BLOCK_ROWS, and each block meets each part of the vectors in a
+    task, as one matrix product. Vectors of one length only; nulls and zero vectors hit nothing.
+    """
+    real = lambda df: df.filter(F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    asked, rows = real(queries), real(vectors)
+    blocks, parts = 1 + asked.count() // BLOCK_ROWS, 1 + rows.count() // (8 * BLOCK_ROWS)
+    kind = dict(asked.dtypes)["id"]
+    left = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = rows.select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int").alias("part"))
+
+    def meet(q, d):
+        import pyarrow as pa
+
+        if not q.num_rows or not d.num_rows:
+            return pa.table({"query_id": pa.array([], q.schema.field("id").type), "id": pa.array([], d.schema.field("id").type)})
+        a, b = (np.stack([np.asarray(v.as_py(), np.float64) for v in t["v"].combine_chunks()]) for t in (q, d))
+        norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            near = (np.round(a @ b.T / norms, 12) >= least) & (norms > 0)
+        ids, others = q["id"].to_numpy(), d["id"].to_numpy()
+        i, j = np.nonzero(near & (ids[:, None] != others[None, :]))
+        return pa.table({"query_id": pa.array(ids[i]), "id": pa.array(others[j])})
+
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, f"query_id {kind}, id {kind}")

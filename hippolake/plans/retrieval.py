@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hippolake.functions import lsh as L
 from hippolake.functions import text as T
 from hippolake.functions import vectors as V
 from hippolake.functions.stem import stems_sql
 from hippolake.operators import retrieval as R
 from hippolake.plans.catalog import query
-from hippolake.storage import spread
+from hippolake.storage import materialize
 
 POOL, KEEP = 3000, 8
 
@@ -75,20 +76,30 @@ SELECT query_id, id, round(bm25, 6) AS bm25, round(cosine, 6) AS cosine, round(s
 
 
 def _tokens(df: DataFrame, key: str, tokens=T.tokens) -> DataFrame:
-    return spread(df.select(key, "text")).select(key, tokens(F.col("text")).alias("tokens"))
+    return df.select(key, tokens(F.col("text")).alias("tokens"))
+
+
+def searched(role, most: int = POOL) -> tuple[R.Postings, DataFrame]:
+    """The postings that the queries reach, and each query's pool, written down."""
+    index = R.postings_for(role("facts").select("id", "text"), role("asked").select("query_id", "text"))
+    return index, materialize(R.overlap_search(index, role("facts"), most=most), "pool")
 
 
 def pool(role, most: int = POOL) -> DataFrame:
-    return R.blind_overlap(role("facts").select("id", "text", "decay_score"), role("asked").select("query_id", "text"), most=most)
+    index = R.postings_for(role("facts").select("id", "text"), role("asked").select("query_id", "text"))
+    return R.overlap_search(index, role("facts"), most=most)
+
+
+def ranked_by_words(role, variant: str = "core") -> DataFrame:
+    index, candidates = searched(role)
+    return R.bm25(candidates, index, _tokens(role("asked"), "query_id", T.tokens if variant == "core" else T.tokens_without_stops), variant=variant)
 
 
 def scored(role, variant: str = "core") -> DataFrame:
-    """The pool with bm25 and cosine, and the facts' columns that fusion reads."""
+    """The pool with bm25 and cosine, and the facts' columns that fusion reads, written down."""
     facts, asked = role("facts"), role("asked")
-    tokens = T.tokens if variant == "core" else T.tokens_without_stops
-    ranked = R.bm25(pool(role), _tokens(facts, "id", tokens), _tokens(asked, "query_id", tokens), variant=variant)
-    with_facts = ranked.join(facts.select("id", "source", "decay_score", "importance", "created_at"), "id")
-    return R.with_cosine(with_facts, asked, facts)
+    with_facts = ranked_by_words(role, variant).join(facts.select("id", "source", "decay_score", "importance", "created_at"), "id")
+    return materialize(R.with_cosine(with_facts, asked, facts), "scored")
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -125,12 +136,12 @@ def overlap_ratio(role):
 
 @query("H1_bm25_core", CORE_SQL + "SELECT query_id, id, round(bm25, 6) AS bm25 FROM scored")
 def bm25_core(role):
-    return R.bm25(pool(role), _tokens(role("facts"), "id"), _tokens(role("asked"), "query_id")).withColumn("bm25", F.round("bm25", 6))
+    return ranked_by_words(role).withColumn("bm25", F.round("bm25", 6))
 
 
 @query("H2_bm25_okapi", OKAPI_SQL + "SELECT query_id, id, round(bm25, 6) AS bm25 FROM scored")
 def bm25_okapi(role):
-    return R.bm25(pool(role), _tokens(role("facts"), "id", T.tokens_without_stops), _tokens(role("asked"), "query_id", T.tokens_without_stops), variant="okapi").withColumn("bm25", F.round("bm25", 6))
+    return ranked_by_words(role, "okapi").withColumn("bm25", F.round("bm25", 6))
 
 
 @query("H3_bm25_quick", r"""
@@ -284,16 +295,47 @@ def relevance_gate(role):
     return rows.groupBy("query_id").agg((F.max("cosine") >= 0.15).alias("relevant"))
 
 
-@query("J4_lsh_buckets", """
+@query("J4_cosine_pairs", """
 WITH units AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM {embeddings})
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS cosine FROM units a JOIN units b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.v, b.v), 12) >= 0.35""")
+def all_cosine_pairs(role):
+    """All pairs with a cosine of at least 0.35, at which buckets don't narrow the search, so each is computed."""
+    return V.cosine_pairs(role("embeddings"), 0.35, id_col="vec_id", vector_col="embedding").withColumn("cosine", F.round("cosine", 6))
+
+
+#: The secret of the registered queries' planes; a deployment derives its own.
+LSH_SECRET = b"registered query planes"
+LSH_LEAST, LSH_DIMS = 0.9, 64
+
+
+@query("J4_lsh_buckets", f"""
+WITH RECURSIVE {L.planes_sql(LSH_SECRET, LSH_DIMS).replace("{", "{{").replace("}", "}}")},
+rows AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM {{embeddings}}
+  UNION ALL SELECT vec_id + 10000000, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN (i - 1 + vec_id) % 32 = 0 THEN 0.0 ELSE x END) FROM {{embeddings}}),
+one AS (SELECT min(id) AS id, v FROM rows WHERE len(v) = {LSH_DIMS} GROUP BY v HAVING list_dot_product(v, v) > 0),
+signed AS (SELECT id, t, string_agg(CASE WHEN list_dot_product(v, weights) >= 0 THEN '1' ELSE '0' END, '' ORDER BY b) AS bucket FROM one, planes GROUP BY id, t),
+met AS (SELECT x.id AS a, y.id AS b, count(*) AS n_tables FROM signed x JOIN signed y ON x.t = y.t AND x.bucket = y.bucket AND x.id < y.id GROUP BY 1, 2),
+units AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS norm FROM one),
+pairs AS (SELECT a, b, n_tables, list_dot_product(x.v, y.v) / (x.norm * y.norm) AS cosine FROM met JOIN units x ON x.id = a JOIN units y ON y.id = b),
+kept AS (SELECT * FROM pairs WHERE round(cosine, 12) >= {LSH_LEAST}),
+wanted AS (SELECT DISTINCT least(x.id, y.id), greatest(x.id, y.id) FROM units x JOIN units y ON x.id <> y.id AND x.id % 100 = 0 AND round(list_dot_product(x.v, y.v) / (x.norm * y.norm), 12) >= {LSH_LEAST}),
+measured AS (SELECT (SELECT count(*) FROM kept WHERE a % 100 = 0 OR b % 100 = 0) / greatest(1, (SELECT count(*) FROM wanted)) AS recall)
+SELECT a, b, n_tables, round(cosine, 6) AS cosine, round(recall, 6) AS recall FROM kept, measured""")
 def lsh_buckets(role):
-    """All pairs with a cosine of at least 0.35.
+    """Pairs of vectors that share a bucket in one of the tables, verified; of each vector a copy with two entries cleared is searched too.
 
-    At 0.35 buckets don't narrow the search: 20 tables of 8 planes find 0.38 of the pairs of sf0.1, and
-    40 tables of 6, which find 0.91, make about half of all pairs candidates. So each is computed.
+    recall: which share of all pairs that an id divisible by 100 has, by comparing those with every vector, the buckets found.
     """
-    return V.cosine_pairs(role("embeddings"), 0.35, id_col="vec_id", vector_col="embedding").withColumn("cosine", F.round("cosine", 6))
+    own = role("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    cleared = F.transform("embedding", lambda x, i: F.when((i + F.col("vec_id")) % 32 == 0, F.lit(0.0).cast("float")).otherwise(x))
+    vectors = own.unionByName(role("embeddings").select((F.col("vec_id") + 10_000_000).alias("id"), cleared.alias("embedding")))
+    pairs = materialize(L.near_pairs(vectors, LSH_LEAST, LSH_SECRET, LSH_DIMS), "pairs")
+    one = vectors.groupBy("embedding").agg(F.min("id").alias("id"))
+    hits = V.cosine_hits(one.filter("id % 100 = 0"), one, LSH_LEAST)
+    wanted = hits.select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b")).distinct().agg(F.count("*").alias("n"))
+    found = pairs.filter("a % 100 = 0 OR b % 100 = 0").agg(F.count("*").alias("n"))
+    recall = found.select(F.col("n").alias("found")).crossJoin(wanted).select(F.round(F.col("found") / F.greatest(F.col("n"), F.lit(1)), 6).alias("recall"))  # two numbers
+    return pairs.crossJoin(F.broadcast(recall)).select("a", "b", "n_tables", F.round("cosine", 6).alias("cosine"), "recall")
 
 
 # Pools of the two tiers.

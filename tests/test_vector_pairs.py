@@ -20,7 +20,7 @@ def brute(ids, x, least):
 def test_recall_of_the_query(spark, small):
     rows = spark.read.parquet(f"{small}/embeddings.parquet").collect()
     all_pairs = brute([r.vec_id for r in rows], np.array([r.embedding for r in rows], float), 0.35)
-    found = {(r.a, r.b) for r in QUERIES["J4_lsh_buckets"](spark, small).collect()}
+    found = {(r.a, r.b) for r in QUERIES["J4_cosine_pairs"](spark, small).collect()}
     assert len(found & all_pairs) >= 0.9 * len(all_pairs) > 100
     assert found == all_pairs
 
@@ -48,16 +48,16 @@ def test_pairs_of_blocks_in_parts(spark, monkeypatch):
         assert len(found) == len(set(found)) and set(found) == expected
 
 
-def test_signatures_and_hamming(spark):
-    rng = np.random.default_rng(7)
-    rows = [(i, rng.normal(size=8).tolist()) for i in range(40)] + [(40, None), (41, [1.0])]
-    df = spark.createDataFrame(rows, "id long, v array<double>")
-    got = {(r.id, r.table): r.signature for r in V.signatures(df, 3, 10, 8, id_col="id", vector_col="v").collect()}
-    weights = np.random.default_rng(1).standard_normal((3, 10, 8)).round(6)
-    for i, v in rows:
-        x = np.array(v) if v and len(v) == 8 else np.zeros(8)
-        for t in range(3):
-            assert got[(i, t)] == sum(1 << b for b in range(10) if weights[t, b] @ x >= 0)
-    one, other = got[(0, 0)], got[(1, 0)]
+def test_hamming(spark):
+    one, other = 0b1011001, 0b11
     distance = spark.range(1).select(V.hamming(F.lit(one), F.lit(other)).alias("d"), V.hamming_similarity(F.lit(5), 10).alias("s")).first()
     assert distance.d == (one ^ other).bit_count() and abs(distance.s) < 1e-12
+
+
+def test_hits_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK_ROWS", 16)
+    x = np.random.default_rng(8).standard_normal((300, 4)).round(2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 4)], "id long, embedding array<double>")
+    pairs = brute(list(range(300)), x, 0.9)
+    found = [(r.query_id, r.id) for r in V.cosine_hits(df.filter("id % 5 = 0"), df, 0.9).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for p in pairs for a, b in (p, p[::-1]) if a % 5 == 0}
