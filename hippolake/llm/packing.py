@@ -29,7 +29,7 @@ CELL_ROWS = 1_000
 LONG = 10_000
 
 #: Bytes of a generation of remembered segments, and what an entry takes besides its characters.
-MEMO_BYTES, ENTRY_BYTES = 12 << 20, 200
+MEMO_BYTES, ENTRY_BYTES = 48 << 20, 200
 #: Bytes of texts that a worker is handed at once, and of ids that it hands on.
 BATCH_BYTES = 4 << 20
 
