@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hippolake.functions import lsh as L
 from hippolake.functions import text as T
 from hippolake.operators import store as S
 from hippolake.operators import retrieval as R
 from hippolake.plans.catalog import query
 from hippolake.plans.filters import vocabulary_sql
+from hippolake.plans.retrieval import LSH_DIMS, LSH_SECRET
 
 
 @query("S1_export_active", "SELECT id, user_id, created_at FROM {stored} WHERE is_active")
@@ -58,15 +60,27 @@ def store_once(role):
     return S.store_once(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0")).select("id", "user_id", "content_fp", "stored")
 
 
-@query("W2_fact_preparation", vocabulary_sql("doc_id", "documents") + r""", sizes AS (SELECT id, count(*) AS n FROM first GROUP BY 1)
-SELECT doc_id AS id, greatest(0.0, least(1.0, CAST(doc_id % 14 AS DOUBLE) / 10)) AS decay_score,
- coalesce(n, 0) AS n_indices, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS digest FROM {documents} LEFT JOIN sizes ON id = doc_id""")
+#: The key of the registered query's fingerprints; a deployment derives its own.
+DEDUP_KEY = b"k" * 32
+
+
+@query("W2_fact_preparation", "WITH RECURSIVE " + L.planes_sql(LSH_SECRET, LSH_DIMS).replace("{", "{{").replace("}", "}}").strip() + ", " + vocabulary_sql("doc_id", "documents").strip().removeprefix("WITH ") + r""", sizes AS (SELECT id, count(*) AS n FROM first GROUP BY 1),
+sides AS (SELECT vec_id, t, string_agg(CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), weights) >= 0 THEN '1' ELSE '0' END, '' ORDER BY b) AS bits FROM {embeddings}, planes WHERE len(embedding) = %d GROUP BY vec_id, t),
+buckets AS (SELECT vec_id, count(*) AS n, sha256(string_agg(sha256('lsh_t' || t || '_' || bits), ',' ORDER BY t)) AS buckets_digest FROM sides GROUP BY vec_id)
+SELECT doc_id AS id, greatest(0.0, least(1.0, CAST(doc_id %% 14 AS DOUBLE) / 10)) AS decay_score, coalesce(s.n, 0) + coalesce(b.n, 0) AS n_indices, b.buckets_digest,
+ sha256('%s'::BLOB || unhex(sha256('%s'::BLOB || encode(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))))) AS digest FROM {documents} LEFT JOIN sizes s ON s.id = doc_id LEFT JOIN buckets b ON b.vec_id = doc_id""" % (LSH_DIMS, r"\x37" * 32 + r"\x5C" * 32, r"\x5D" * 32 + r"\x36" * 32))
 def fact_preparation(role):
+    """What a fact's record holds: clamped score, how many digests its index has (words, stems, buckets of its vector), its buckets' digest and its keyed fingerprint."""
     docs = role("documents")
     decay = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("doc_id") % 14).cast("double") / 10))
-    sizes = R.blind_postings(docs, id_col="doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n_indices"))
-    made = docs.select(F.col("doc_id").alias("id"), decay.alias("decay_score"), F.sha2(T.normalise(F.col("text")), 256).alias("digest"))
-    return made.join(sizes, "id", "left").select("id", "decay_score", F.coalesce("n_indices", F.lit(0)).cast("long").alias("n_indices"), "digest")
+    sizes = R.index_sizes(docs, id_col="doc_id").withColumnRenamed("doc_id", "id")
+    buckets = L.bucket_hashes(L.signature(F.col("embedding"), LSH_SECRET, LSH_DIMS))
+    vectors = role("embeddings").select(F.col("vec_id").alias("id"), buckets.alias("buckets"))
+    made = docs.select(F.col("doc_id").alias("id"), decay.alias("decay_score"), T.fingerprint(F.col("text"), DEDUP_KEY).alias("digest"))
+    joined = made.join(sizes, "id", "left").join(vectors, "id", "left")
+    some = F.size("buckets") > 0
+    count = F.coalesce("n", F.lit(0)) + F.when(some, F.size("buckets")).otherwise(0)
+    return joined.select("id", "decay_score", count.cast("long").alias("n_indices"), F.when(some, F.sha2(F.array_join("buckets", ","), 256)).alias("buckets_digest"), "digest")
 
 
 @query("W3_log_replay", """
