@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from hippolake.sources.tail import growing_lines
 from hippolake.storage import remove
 
 #: Events as the log's files hold them.
@@ -26,11 +28,11 @@ def pull(spark: SparkSession, path: str, schema: str = EVENTS, *, file_format: s
 
 
 def tail_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of prompt and completion events of JSON lines; other lines and broken ones are left out.
+    """Messages of prompt and completion events of growing files of JSON lines; other lines and broken ones are left out.
 
-    Files are taken whole once they are complete, at least once; `deduplicated` drops what comes again.
+    Each complete line is taken once, from the byte at which the last batch ended; `deduplicated` drops events that were logged twice.
     """
-    lines = spark.readStream.format("text").load(path)
+    lines = growing_lines(spark, path)
     kind, body = F.get_json_object("value", "$.type"), F.col("value")
     prompt, answers = F.get_json_object(body, "$.data.prompt"), F.from_json(F.get_json_object(body, "$.data.assistantTexts"), "array<string>")
     text = F.when(kind == "prompt.submitted", prompt).when(kind == "model.completed", F.array_join(answers, "\n"))
@@ -42,25 +44,80 @@ def deduplicated(stream: DataFrame, key: str, at: str = "ts", delay: str = "1 ho
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def latest_state(stream: DataFrame, checkpoint: str, target: str) -> DataStreamWriter:
-    """Replays a fact log (fact_id, seq, decay_score) into `target`/state-N, one complete version a batch.
+#: Where keyed state is kept: in a store of its own per partition, of which a batch reads and writes the keys that it holds.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
-    A batch that is replayed writes the same version again, so the upsert is idempotent. It needs the version
-    before it and no older one, so those go.
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """For streams started from now on: state lives on disk, and a checkpoint gets what a batch changed, not the whole."""
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
+
+
+def latest_state(stream: DataFrame) -> DataFrame:
+    """Replays a fact log (fact_id, seq, decay_score): a row per fact that a batch changed, as it is after it: fact_id, seq, decay_score, writes, is_active.
+
+    The latest seq wins, whatever the order of arrival; of equal ones the higher score. State is a fact's last entry and how
+    often it was written, so a batch touches its own facts' state only. Null facts are a fact of their own; null seqs are before all others.
+    """
+    kinds = dict(stream.dtypes)
+
+    def replay(keys: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seq, score, writes = state.get if state.exists else (None, None, 0)
+        rank = lambda s, d: (s is not None, s if s is not None else 0, d is not None, d if d is not None else 0.0)
+        for rows in groups:
+            for s, d in zip(rows["seq"], rows["decay_score"], strict=True):
+                s, d = (None if pd.isna(s) else int(s)), (None if pd.isna(d) else float(d))
+                if not writes or rank(s, d) > rank(seq, score):
+                    seq, score = s, d
+                writes += 1
+        state.update((seq, score, writes))
+        active = None if score is None else score >= 0.3
+        yield pd.DataFrame({"fact_id": pd.array([keys[0]], dtype=object), "seq": pd.array([seq], dtype="Int64"), "decay_score": pd.array([score], dtype="Float64"), "writes": [writes], "is_active": pd.array([active], dtype="boolean")})
+
+    out = f"fact_id {kinds['fact_id']}, seq long, decay_score double, writes long, is_active boolean"
+    return stream.groupBy("fact_id").applyInPandasWithState(replay, out, "seq long, decay_score double, writes long", "update", GroupStateTimeout.NoTimeout)
+
+
+def write_changes(changed: DataFrame, checkpoint: str, target: str, *, batches: int = 64) -> DataStreamWriter:
+    """Writes what each batch changed to a folder of its own under `target`; a batch that is replayed writes the same folder again.
+
+    Every `batches` batches the changes so far become one folder that holds each key's latest row, and
+    what it replaces goes with the batch after it, so readers merge few folders however long the stream runs.
     """
 
-    def merge(batch: DataFrame, epoch: int) -> None:
+    def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy("fact_id").agg(F.max(F.struct("seq", "decay_score")).alias("last"), F.count("*").alias("writes"))
-        if epoch > 0:
-            before = spark.read.parquet(f"{target}/state-{epoch - 1}")
-            new = new.unionByName(before.select("fact_id", F.struct("seq", "decay_score").alias("last"), "writes")).groupBy("fact_id").agg(F.max("last").alias("last"), F.sum("writes").alias("writes"))
-        out = new.select("fact_id", "last.seq", "last.decay_score", "writes", (F.col("last.decay_score") >= 0.3).alias("is_active"))
-        out.write.mode("overwrite").parquet(f"{target}/state-{epoch}")
-        if epoch > 1:
-            remove(spark, f"{target}/state-{epoch - 2}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+        batch.write.mode("overwrite").parquet(f"{target}/changes/epoch={epoch}")
+        if epoch and epoch % batches == 0:
+            current(spark, target, upto=epoch).write.mode("overwrite").parquet(f"{target}/whole/epoch={epoch}")
+        elif epoch > batches and epoch % batches == 1:
+            for old in range(epoch - 1 - batches, epoch - 1):
+                remove(spark, f"{target}/changes/epoch={old}")
+            remove(spark, f"{target}/whole/epoch={epoch - 1 - batches}")
+
+    return changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def current(spark: SparkSession, target: str, *, key: str = "fact_id", upto: int | None = None) -> DataFrame:
+    """Each key's latest row of what write_changes has written."""
+    def read(kind: str) -> DataFrame | None:
+        try:
+            return spark.read.option("basePath", f"{target}/{kind}").parquet(f"{target}/{kind}")
+        except AnalysisException:  # nothing there yet
+            return None
+
+    parts = [part for part in map(read, ("whole", "changes")) if part is not None]
+    if not parts:
+        raise FileNotFoundError(f"nothing was written to {target}")
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    if upto is not None:
+        rows = rows.filter(F.col("epoch") <= upto)
+    columns = [c for c in rows.columns if c not in (key, "epoch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "epoch").alias("row")).select(key, "row.*")
 
 
 def gap_sessions(stream: DataFrame, gap: str = "30 minutes", *, key: str = "user_id", at: str = "ts", delay: str = "1 hour") -> DataFrame:

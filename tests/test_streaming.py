@@ -28,8 +28,8 @@ def ended(stream, tmp_path, name: str, mode: str = "append"):
 
 def test_state_replay(spark, log, tmp_path):
     stream = P.pull(spark, log, files=1).select(F.col("user_id").alias("fact_id"), F.col("event_id").alias("seq"), (F.pmod(F.floor("value"), F.lit(100)) / 100).alias("decay_score"))
-    P.latest_state(stream, str(tmp_path / "c"), str(tmp_path / "t")).trigger(availableNow=True).start().awaitTermination(120)
-    state = spark.read.parquet(str(tmp_path / "t" / "state-3"))
+    P.write_changes(P.latest_state(stream), str(tmp_path / "c"), str(tmp_path / "t"), batches=2).trigger(availableNow=True).start().awaitTermination(120)
+    state = P.current(spark, str(tmp_path / "t"))
     events = spark.read.parquet(log)
     expected = {(r.user_id, r.last, r.n) for r in events.groupBy("user_id").agg(F.max("event_id").alias("last"), F.count("*").alias("n")).collect()}
     assert {(r.fact_id, r.seq, r.writes) for r in state.collect()} == expected
