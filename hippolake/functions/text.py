@@ -35,8 +35,22 @@ def plain_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda t: F.length(t) > 0)
 
 
+def nfc(text: Column) -> Column:
+    """Composed characters where Unicode has them; Spark has no function for it, and Arrow's takes characters apart but doesn't compose them."""
+
+    @F.arrow_udf("string")
+    def composed(texts):
+        import unicodedata
+
+        import pyarrow as pa
+
+        return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+    return composed(text)
+
+
 def normalise(text: Column) -> Column:
-    """Lower case, blanks collapsed, trimmed: what fingerprints and entity names are compared in."""
+    """Lower case, blanks collapsed, trimmed. Give it nfc(text) where composed and decomposed characters are to meet."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
@@ -46,12 +60,12 @@ def loose(text: Column) -> Column:
 
 
 def entity_id(name: Column) -> Column:
-    """First eight bytes of the normal form's SHA-256, as hex."""
-    return F.substring(F.sha2(normalise(name), 256), 1, 16)
+    """First eight bytes of the normal form's SHA-256, as hex; composed and decomposed names have one id."""
+    return F.substring(F.sha2(normalise(nfc(name)), 256), 1, 16)
 
 
 def entity_trapdoor(name: Column) -> Column:
-    return F.sha2(F.concat(F.lit("entity:"), normalise(name)), 256)
+    return F.sha2(F.concat(F.lit("entity:"), normalise(nfc(name))), 256)
 
 
 def hmac_sha256(key: bytes, message: Column) -> Column:
@@ -65,20 +79,26 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
 
 
 def fingerprint(text: Column, key: bytes) -> Column:
-    """Keyed digest of the normal form: equal for texts that differ in case and blanks only."""
-    return hmac_sha256(key, normalise(text))
+    """Keyed digest of the normal form: equal for texts that differ in case, blanks and the composition of characters only."""
+    return hmac_sha256(key, normalise(nfc(text)))
 
 
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+#: What \\s stands for in expressions.
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def without_closing_fence(body: Column) -> Column:
+    """body without ``` at its end and the blanks before it. Not by an expression, which would try each blank of an inner run as a start."""
+    return F.when(body.endswith("```"), F.rtrim(F.substr(body, F.lit(1), F.length(body) - 3), F.lit(SPACES))).otherwise(body)
+
+
 def strip_fences(text: Column) -> Column:
     """The body of a fenced code block, or the text."""
-    body = F.regexp_replace(F.trim(text), r"^```(?:json)?\s*+", "")
-    # Blanks before the closing fence go with the last trim, not with an expression that would try each blank of an inner run as a start.
-    closed = F.when(body.endswith("```"), F.rtrim(F.substr(body, F.lit(1), F.length(body) - 3), F.lit(" \t\n\x0b\x0c\r"))).otherwise(body)
-    return F.trim(closed)
+    return F.trim(without_closing_fence(F.regexp_replace(F.trim(text), r"^```(?:json)?\s*+", "")))
 
 
 def strip_html(text: Column) -> Column:

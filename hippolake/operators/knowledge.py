@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hippolake.functions import scores
+from hippolake.functions.text import entity_id
 from hippolake.functions.vectors import cosine, cosine_pairs
 from hippolake.storage import materialize
 
@@ -39,6 +40,20 @@ def band(pairs: DataFrame, low: float, high: float) -> DataFrame:
     return pairs.filter((rounded >= low) & (rounded < high))
 
 
+def shared_entities(claims: DataFrame, low: float, high: float, *, id_col: str = "id", entities_col: str = "entities") -> DataFrame:
+    """a, b, entity_id, n_shared, cosine: pairs (a < b) that share an entity and whose cosine is in low..high, each once.
+
+    entities: names of each claim, in its own order; names with one normal form are one entity. entity_id is the first of b's, the newer claim's, that a
+    has too. A claim stands once under each of its entities, pairs meet entity by entity, part by part, and what
+    several entities find is put together. Claims without entities, or without a vector, are in no pair.
+    """
+    named = claims.select(F.col(id_col).alias("id"), "embedding", F.posexplode(entities_col).alias("place", "name")).withColumn("entity_id", entity_id(F.col("name")))
+    once = materialize(named.filter("name IS NOT NULL").groupBy("id", "entity_id").agg(F.min("place").alias("place"), F.first("embedding").alias("embedding")), "entities")
+    met = band(block_pairs(once, "entity_id", low), low, high)
+    places = once.select(F.col("id").alias("b"), "entity_id", "place")
+    return met.join(places, ["b", "entity_id"]).groupBy("a", "b").agg(F.min_by("entity_id", "place").alias("entity_id"), F.count("*").alias("n_shared"), F.first("cosine").alias("cosine"))
+
+
 def first_come(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(id, leader): going through nodes by id, one without a leader before it that it has an edge to is a leader itself (leader = id); others have the first such.
 

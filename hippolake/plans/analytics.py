@@ -153,15 +153,15 @@ def zero_fact_reasons(role):
 WITH ranked AS (SELECT l_orderkey AS query_id, l_partkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_linenumber) AS rank FROM {lineitem}),
 rel AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey AS id, o_orderpriority AS category FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity > 30),
 expected AS (SELECT query_id, category, count(*) AS expected FROM rel GROUP BY 1, 2),
-found AS (SELECT r.query_id, count(*) AS found, min(r.rank) AS first FROM ranked r WHERE r.rank <= 3 AND EXISTS (SELECT 1 FROM rel WHERE rel.query_id = r.query_id AND rel.id = r.id) GROUP BY 1),
-per AS (SELECT category, coalesce(found, 0) / expected AS recall, coalesce(found, 0) / 3 AS precision, coalesce(1.0 / first, 0) AS rr FROM expected LEFT JOIN found USING (query_id))
-SELECT category, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(rr), 6) AS mrr, count(*) AS queries FROM per GROUP BY ROLLUP (category)""")
+found AS (SELECT r.query_id, count(*) AS found, min(r.rank) AS first FROM ranked r WHERE r.rank <= 8 AND EXISTS (SELECT 1 FROM rel WHERE rel.query_id = r.query_id AND rel.id = r.id) GROUP BY 1),
+per AS (SELECT category, coalesce(found, 0) / expected AS recall, coalesce(found, 0) / 8 AS precision, coalesce(1.0 / first, 0) AS rr FROM expected LEFT JOIN found USING (query_id))
+SELECT category, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(rr), 6) AS mrr, count(*) AS queries, round(quantile_disc(recall, 0.5), 6) AS recall_p50, round(quantile_disc(recall, 0.95), 6) AS recall_p95, round(quantile_disc(rr, 0.5), 6) AS rr_p50 FROM per GROUP BY ROLLUP (category)""")
 def retrieval_quality(role):
     items = role("lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id"), "l_extendedprice", "l_linenumber", "l_quantity")
     ranked = items.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("l_extendedprice"), "id", "l_linenumber")))
     relevant = items.filter("l_quantity > 30").join(role("orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("category")), "query_id").select("query_id", "id", "category").distinct()
-    out = M.retrieval_quality(ranked, relevant, 3)
-    return out.select("category", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr")], "queries")
+    out = M.retrieval_quality(ranked, relevant, 8)
+    return out.select("category", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr", "recall_p50", "recall_p95", "rr_p50")], "queries")
 
 
 @query("A17_filter_outcomes", "SELECT owner, count(*) FILTER (importance >= 0.5) AS kept, count(*) FILTER (importance < 0.5) AS dropped FROM {facts} GROUP BY 1")

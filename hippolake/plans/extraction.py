@@ -11,6 +11,7 @@ from hippolake.functions.arrays import scan
 from hippolake.functions.vectors import cosine
 from hippolake.operators import retrieval as R
 from hippolake.plans import retrieval as PR
+from hippolake.functions import text as T
 from hippolake.plans.catalog import query
 
 # What a conversation says of a fact's importance, and words that say nothing of it.
@@ -173,7 +174,7 @@ def digest_parts(response: Column) -> Column:
 
     error says what is wrong with it, and is null where nothing is: no object, no identity, or a list that isn't one of positive numbers (of texts).
     """
-    body = F.trim(F.regexp_replace(F.regexp_replace(F.trim(response), r"^```[^\n]*\n", ""), r"\s*```$", ""))
+    body = F.trim(T.without_closing_fence(F.regexp_replace(F.trim(response), r"^```[^\n]*\n", "")))
     field = lambda name: F.get_json_object(body, f"$.{name}")
     bad = lambda name, shape: field(name).isNotNull() & ~F.regexp_replace(field(name), r"\s*,\s*", ",").rlike(shape)
     whole = F.from_json(body, "struct<top_claim_indices:array<int>,recent_decision_indices:array<int>,active_project_names:array<string>>")
@@ -198,7 +199,7 @@ def digest_prompt(parts: Column, claims: Column) -> Column:
     section = lambda title, numbers: F.when(F.size(numbers) > 0, F.concat(F.lit(title), lines(numbers))).otherwise("")
     projects = F.when(F.size(parts["projects"]) > 0, F.concat(F.lit("\nActive projects: "), F.array_join(parts["projects"], ", "), F.lit("\n"))).otherwise("")
     text = F.concat(F.trim(parts["identity"]), section("\n\nKey facts:\n", parts["top"]), section("\nRecent decisions:\n", parts["recent"]), projects)
-    return F.when(parts["error"].isNull() & within, F.substring(F.regexp_replace(text, r"\s+$", ""), 1, PROMPT_CHARS))
+    return F.when(parts["error"].isNull() & within, F.substring(F.rtrim(text, F.lit(T.SPACES)), 1, PROMPT_CHARS))
 
 
 @query("C20_digest_assembly", f"""
@@ -223,7 +224,7 @@ def digest_assembly(role):
 
 def salvaged(response: Column, opens: str) -> Column:
     """The JSON object ('{') or array ('[') in a response: all of it, within a fence, or from the first mark that opens one to the last that closes one; null if that isn't JSON."""
-    body = F.regexp_replace(F.regexp_replace(F.trim(response), r"^```[^\n]*\n", ""), r"\s*```$", "")
+    body = T.without_closing_fence(F.regexp_replace(F.trim(response), r"^```[^\n]*\n", ""))
     found = F.regexp_extract(body, r"(?s)\{.*\}" if opens == "{" else r"(?s)\[.*\]", 0)
     return F.when((found != "") & F.try_parse_json(found).isNotNull(), found)
 

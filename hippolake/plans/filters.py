@@ -310,7 +310,7 @@ def path_shape(role):
     return role("pages").select("page_id", T.path_shape(F.regexp_extract("url", "://[^/]*([^?#]*)", 1)).alias("path"))
 
 
-@query("FN_hmac_fingerprint", r"""SELECT doc_id, sha256('%s'::BLOB || unhex(sha256('%s'::BLOB || encode(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))))) AS fp FROM {documents}""" % (r"\x37" * 32 + r"\x5C" * 32, r"\x5D" * 32 + r"\x36" * 32))
+@query("FN_hmac_fingerprint", r"""SELECT doc_id, sha256('%s'::BLOB || unhex(sha256('%s'::BLOB || encode(trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g')))))) AS fp FROM {documents}""" % (r"\x37" * 32 + r"\x5C" * 32, r"\x5D" * 32 + r"\x36" * 32))
 def hmac_fingerprint(role):
     return role("documents").select("doc_id", T.fingerprint(F.col("text"), b"k" * 32).alias("fp"))
 

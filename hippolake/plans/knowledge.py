@@ -40,6 +40,20 @@ def contradiction_band(role):
     return K.band(_pairs(role, 0.30), 0.30, 0.85).select("a", "b", "entity", F.round("cosine", 6).alias("cosine"))
 
 
+@query("J6_shared_entities", f"""
+WITH tagged AS (SELECT d.doc_id AS id, e.embedding, CASE WHEN d.doc_id % 2 = 0 THEN ['label ' || e.label, 'Lang  ' || d.lang, 'LABEL ' || e.label, 'source ' || d.source] ELSE ['source ' || d.source, 'Lang  ' || d.lang, 'LABEL ' || e.label] END AS names FROM {{documents}} d JOIN {{embeddings}} e ON d.doc_id = e.vec_id),
+named AS (SELECT id, embedding, list_transform(names, lambda n: substr(sha256(trim(regexp_replace(lower(nfc_normalize(n)), '\\s+', ' ', 'g'))), 1, 16)) AS ids FROM tagged),
+pairs AS (SELECT x.id AS a, y.id AS b, list_filter(y.ids, lambda i: list_contains(x.ids, i)) AS shared, round({_COS}, 12) AS cosine FROM named x JOIN named y ON x.id < y.id AND list_has_any(x.ids, y.ids))
+SELECT a, b, shared[1] AS entity_id, len(list_distinct(shared)) AS n_shared, round(cosine, 6) AS cosine FROM pairs WHERE cosine >= 0.30 AND cosine < 0.85""")
+def shared_entities(role):
+    """Claims of several entities that may contradict: each pair once, under the first of the newer claim's entities that both have."""
+    names = F.array(F.concat(F.lit("label "), F.col("label")), F.concat(F.lit("Lang  "), F.col("lang")), F.concat(F.lit("LABEL "), F.col("label")), F.concat(F.lit("source "), F.col("source")))
+    docs = role("documents").join(role("embeddings"), F.col("doc_id") == F.col("vec_id"))
+    odd = F.array(names[3], names[1], names[2])
+    claims = docs.select(F.col("doc_id").alias("id"), "embedding", F.when(F.col("doc_id") % 2 == 0, names).otherwise(odd).alias("entities"))
+    return K.shared_entities(claims, 0.30, 0.85).select("a", "b", "entity_id", F.col("n_shared").cast("long").alias("n_shared"), F.round("cosine", 6).alias("cosine"))
+
+
 @query("J7_entity_candidates", "SELECT claim, candidate FROM (SELECT x.id AS claim, y.id AS candidate, row_number() OVER (PARTITION BY x.id, x.entity ORDER BY y.created_at DESC, y.id) AS k FROM {claims} x JOIN {claims} y ON x.entity = y.entity AND x.id <> y.id) WHERE k <= 20")
 def entity_candidates(role):
     # One more than wanted, as a claim may be among its entity's newest itself.
@@ -91,10 +105,34 @@ def consolidation_report(role):
     return clusters.groupBy("entity").agg(F.count_if(F.col("n") > 1).alias("clusters"), F.sum(F.col("n") - 1).alias("duplicates"))
 
 
-@query("C8_entity_ids", r"SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS name, substr(sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))), 1, 16) AS entity_id FROM {benchmark}")
+@query("C8_entity_ids", r"SELECT item_id, trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g')) AS name, substr(sha256(trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g'))), 1, 16) AS entity_id FROM {benchmark}")
 def entity_ids(role):
     name = F.col("text")
-    return role("benchmark").select("item_id", T.normalise(name).alias("name"), T.entity_id(name).alias("entity_id"))
+    return role("benchmark").select("item_id", T.normalise(T.nfc(name)).alias("name"), T.entity_id(name).alias("entity_id"))
+
+
+#: Words of texts, each also with its accents as marks of their own: e with an acute accent and e followed by the mark, say.
+_DECOMPOSED = (("é", "e\u0301"), ("è", "e\u0300"), ("ê", "e\u0302"), ("ç", "c\u0327"), ("ü", "u\u0308"), ("ä", "a\u0308"), ("ö", "o\u0308"), ("ó", "o\u0301"), ("ñ", "n\u0303"), ("í", "i\u0301"))
+
+
+def _apart_sql(text: str) -> str:
+    for whole, parts in _DECOMPOSED:
+        text = f"replace({text}, '{whole}', '{parts[0]}' || chr({ord(parts[1])}))"
+    return text
+
+
+@query("C8_composed_names", f"""
+WITH names AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS name FROM {{documents}}), spelt AS (SELECT name FROM names UNION SELECT {_apart_sql("name")} FROM names),
+ids AS (SELECT name, substr(sha256(trim(regexp_replace(lower(nfc_normalize(name)), '\\s+', ' ', 'g'))), 1, 16) AS entity_id FROM spelt)
+SELECT entity_id, count(*) AS spellings, min(nfc_normalize(name)) AS first FROM ids GROUP BY entity_id HAVING count(*) > 1""")
+def composed_names(role):
+    """Entity ids that several spellings of a name share: in case, and with accents composed or apart."""
+    names = role("documents").select(F.explode(F.split("text", " ")).alias("name")).distinct()
+    apart = F.col("name")
+    for whole, parts in _DECOMPOSED:
+        apart = F.replace(apart, F.lit(whole), F.lit(parts))
+    spelt = names.unionAll(names.select(apart.alias("name"))).distinct()
+    return spelt.groupBy(T.entity_id(F.col("name")).alias("entity_id")).agg(F.count("*").alias("spellings"), F.min(T.nfc(F.col("name"))).alias("first")).filter("spellings > 1")
 
 
 @query("C9_entity_trapdoors", r"SELECT c_custkey, sha256('entity:' || trim(regexp_replace(lower(c_name), '\s+', ' ', 'g'))) AS trapdoor FROM {customer}")
@@ -102,7 +140,7 @@ def entity_trapdoors(role):
     return role("customer").select("c_custkey", T.entity_trapdoor(F.col("c_name")).alias("trapdoor"))
 
 
-@query("C1_fingerprint_groups", r"SELECT min(doc_id) AS first_id, count(*) AS copies FROM {documents} GROUP BY trim(regexp_replace(lower(text), '\s+', ' ', 'g')) HAVING count(*) > 1")
+@query("C1_fingerprint_groups", r"SELECT min(doc_id) AS first_id, count(*) AS copies FROM {documents} GROUP BY trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g')) HAVING count(*) > 1")
 def fingerprint_groups(role):
     return role("documents").groupBy(T.fingerprint(F.col("text"), b"k" * 32).alias("fp")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).filter("copies > 1").drop("fp")
 

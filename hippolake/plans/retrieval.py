@@ -111,6 +111,27 @@ def overlap_search(role):
     return pool(role).select("query_id", "id", "decay_score", "total", F.col("rank").cast("long").alias("rank"))
 
 
+#: Trapdoors asked at once, entries of a page, and facts after which no more pages are asked for.
+CHUNK, PAGE, MOST = 5, 200, 500
+
+
+@query("J2_paged_search", r"""
+WITH dtok AS (SELECT id, unnest(t) AS token FROM (SELECT id, %(tokens)s AS t FROM {facts})), qtok AS (SELECT query_id AS id, unnest(t) AS token, unnest(range(len(t))) AS place FROM (SELECT query_id, %(tokens)s AS t FROM {asked})),
+vocab AS (SELECT token FROM dtok UNION SELECT token FROM qtok), stems AS (%(stems)s),
+terms AS (SELECT token, 0 AS kind, sha256(token) AS hash FROM vocab UNION ALL SELECT token, 1, sha256('stem:' || stem) FROM stems WHERE strlen(stem) >= 2),
+post AS (SELECT DISTINCT id, hash FROM dtok JOIN terms USING (token)),
+trap AS (SELECT id AS query_id, hash, min(place * 2 + kind) AS pos FROM qtok JOIN terms USING (token) GROUP BY 1, 2),
+chunks AS (SELECT query_id, hash, (row_number() OVER (PARTITION BY query_id ORDER BY pos, hash) - 1) // %(chunk)d AS chunk FROM trap),
+entries AS (SELECT query_id, id, chunk, (row_number() OVER (PARTITION BY query_id, chunk ORDER BY id, hash) - 1) // %(page)d AS page FROM post JOIN chunks USING (hash)),
+seen AS (SELECT query_id, id, min(CASE WHEN page = 0 THEN -1 ELSE chunk * 1000000 + page END) AS spot FROM entries GROUP BY 1, 2),
+pages AS (SELECT query_id, spot, coalesce(sum(count(*)) OVER (PARTITION BY query_id ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  row_number() OVER (PARTITION BY query_id ORDER BY spot) - max(CASE WHEN spot < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS n FROM seen GROUP BY query_id, spot)
+SELECT s.query_id, s.id, CAST(CASE WHEN spot < 0 THEN 0 ELSE n END AS BIGINT) AS seen FROM seen s JOIN pages p USING (query_id, spot) WHERE spot < 0 OR before < %(most)d""" % {"tokens": _TOKENS, "stems": stems_sql("vocab"), "chunk": CHUNK, "page": PAGE, "most": MOST})
+def paged_search(role):
+    trapdoors = R.trapdoors(role("asked").select("query_id", "text"), id_col="query_id")
+    return R.paged_search(R.blind_postings(role("facts").select("id", "text")), trapdoors, chunk=CHUNK, page=PAGE, most=MOST)
+
+
 @query("J3_broadened", POOL_SQL + """, recent AS (SELECT id, owner, row_number() OVER (PARTITION BY owner ORDER BY created_at DESC, id) AS r FROM {facts} WHERE decay_score >= 0.3)
 SELECT query_id, id, min(origin) AS origin FROM (SELECT query_id, id, 0 AS origin FROM pool UNION ALL SELECT a.query_id, r.id, 1 AS origin FROM {asked} a JOIN recent r ON r.owner = a.query_id % 7 WHERE r.r <= 1000) GROUP BY 1, 2""")
 def broadened(role):

@@ -68,7 +68,7 @@ DEDUP_KEY = b"k" * 32
 sides AS (SELECT vec_id, t, string_agg(CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), weights) >= 0 THEN '1' ELSE '0' END, '' ORDER BY b) AS bits FROM {embeddings}, planes WHERE len(embedding) = %d GROUP BY vec_id, t),
 buckets AS (SELECT vec_id, count(*) AS n, sha256(string_agg(sha256('lsh_t' || t || '_' || bits), ',' ORDER BY t)) AS buckets_digest FROM sides GROUP BY vec_id)
 SELECT doc_id AS id, greatest(0.0, least(1.0, CAST(doc_id %% 14 AS DOUBLE) / 10)) AS decay_score, coalesce(s.n, 0) + coalesce(b.n, 0) AS n_indices, b.buckets_digest,
- sha256('%s'::BLOB || unhex(sha256('%s'::BLOB || encode(trim(regexp_replace(lower(text), '\s+', ' ', 'g')))))) AS digest FROM {documents} LEFT JOIN sizes s ON s.id = doc_id LEFT JOIN buckets b ON b.vec_id = doc_id""" % (LSH_DIMS, r"\x37" * 32 + r"\x5C" * 32, r"\x5D" * 32 + r"\x36" * 32))
+ sha256('%s'::BLOB || unhex(sha256('%s'::BLOB || encode(trim(regexp_replace(lower(nfc_normalize(text)), '\s+', ' ', 'g')))))) AS digest FROM {documents} LEFT JOIN sizes s ON s.id = doc_id LEFT JOIN buckets b ON b.vec_id = doc_id""" % (LSH_DIMS, r"\x37" * 32 + r"\x5C" * 32, r"\x5D" * 32 + r"\x36" * 32))
 def fact_preparation(role):
     """What a fact's record holds: clamped score, how many digests its index has (words, stems, buckets of its vector), its buckets' digest and its keyed fingerprint."""
     docs = role("documents")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hippolake.functions.text import SPACES
+
 CHUNK = 20
 
 # Headings of pasted lists, categories and their types, pronouns and relations in words, months by their first three letters.
@@ -37,7 +39,7 @@ def _literal_map(pairs: dict) -> Column:
 
 def list_items(files: DataFrame, *, headings: tuple[str, ...] = HEADINGS) -> DataFrame:
     """id, item_no (from 0), chunk, text: the lines of a pasted list without headings, bullets and numbers, of three characters or more."""
-    lines = files.select("id", F.posexplode(F.split("content", "\n")).alias("line_no", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", "")))
+    lines = files.select("id", F.posexplode(F.split("content", "\n")).alias("line_no", "raw")).withColumn("line", F.trim("raw", F.lit(SPACES)))
     plain = F.lower(F.trim(F.regexp_replace("line", ":+$", "")))
     kept = lines.filter((F.col("line") != "") & ~plain.isin(*headings))
     text = F.regexp_replace("line", r"^(?:[-*•]\s+|[0-9]+[.)]\s+)", "")
