@@ -71,6 +71,22 @@ def semantic_sessions(turns: DataFrame, *, gap: float = 1800.0, least: float = 0
     return turns.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, session long")
 
 
+def assigned_chunks(turns: DataFrame, size: int, *, explicit: Column, gap: float = 1800.0, least: float = 0.55, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """key, chunk, session, first_turn, last_turn, turns, owner: the slices into which sessions by time and meaning cut chunks of `size` turns.
+
+    turns: key, order, at, embedding. Where `explicit` holds the conversation is a session by itself (0), as its source says; only
+    the others are looked through for sessions. A chunk that straddles sessions gives a slice a session; `owner` says which
+    one the chunk as a whole counts to: that of its first turn.
+    """
+    marked = turns.withColumn("explicit", F.coalesce(explicit, F.lit(False)))
+    stated = marked.filter("explicit").select(key, order, F.lit(0).cast("long").alias("session"))
+    found = semantic_sessions(marked.filter(~F.col("explicit")).select(key, order, "at", "embedding"), gap=gap, least=least, key=key, order=order)
+    place = F.row_number().over(W.partitionBy(key).orderBy(order)) - 1
+    rows = stated.unionByName(found).withColumn("chunk", F.floor(place / size).cast("long"))
+    slices = rows.groupBy(key, "chunk", "session").agg(F.min(order).alias("first_turn"), F.max(order).alias("last_turn"), F.count("*").alias("turns"))
+    return slices.withColumn("owner", F.min("session").over(W.partitionBy(key, "chunk")))
+
+
 def timeline(facts: DataFrame, *, key: Column, at: str, importance: str, crystal: str, entity: str) -> DataFrame:
     """Facts by session or day: when it ended, how important it was (a crystal's, else the greatest, else 8), its entities."""
     own = F.max(F.when(F.col(crystal), F.col(importance)))

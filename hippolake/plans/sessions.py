@@ -70,7 +70,22 @@ def timeline(role):
     return S.timeline(rows, key=key, at="ts", importance="weight", crystal="crystal", entity="event_type")
 
 
-@query("C22_semantic_sessions")
+#: Going through `rows` (grp, k from 1, item, secs_at, v) of each group: the session of each, and its vectors' sum so far.
+WALK_SQL = """WITH RECURSIVE rows AS ({rows}), walk AS (
+  SELECT grp, k, item, secs_at, CAST(0 AS BIGINT) AS session, v AS centre FROM rows WHERE k = 1
+  UNION ALL SELECT grp, k, item, secs_at, session + CASE WHEN opens THEN 1 ELSE 0 END, CASE WHEN opens THEN v ELSE list_transform(list_zip(centre, v), lambda z: z[1] + z[2]) END
+  FROM (SELECT r.grp, r.k, r.item, r.secs_at, r.v, w.session, w.centre, coalesce(r.secs_at - w.secs_at > {gap}, false) OR list_dot_product(r.v, w.centre) / CASE WHEN list_dot_product(w.centre, w.centre) >= 1e-18 THEN sqrt(list_dot_product(w.centre, w.centre)) ELSE 1 END < 0.55 AS opens
+    FROM walk w JOIN rows r ON r.grp = w.grp AND r.k = w.k + 1))
+"""
+_TURN_ROWS = "SELECT conv_id AS grp, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, turn AS item, CAST(secs AS DOUBLE) AS secs_at, %s AS v FROM {turns} JOIN {embeddings} ON (conv_id * 7 + turn // 2) %% 500 = vec_id %s"
+_SHIFTED = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x + 0.12)"
+
+
+def _walk_sql(rows: str, gap: int) -> str:
+    return WALK_SQL.replace("{rows}", rows).replace("{gap}", str(gap))
+
+
+@query("C22_semantic_sessions", _walk_sql(_TURN_ROWS % ("CAST(embedding AS DOUBLE[])", ""), 1800) + "SELECT grp AS conv_id, item AS turn, session FROM walk")
 def semantic_sessions(role):
     rows = role("turns").join(role("embeddings").select(F.col("vec_id").alias("v"), "embedding"), F.pmod(F.col("conv_id") * 7 + F.floor(F.col("turn") / 2), F.lit(500)) == F.col("v"))
     return S.semantic_sessions(rows.select("conv_id", "turn", F.col("secs").cast("double").alias("at"), "embedding"))
@@ -87,6 +102,30 @@ def session_assignment(role):
     return rows.groupBy(name.alias("session_id"), "conv_id").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("turns"))
 
 
+def _alike(vector: str):
+    """Vectors moved towards one direction, so that some neighbours are alike and some aren't."""
+    return F.transform(vector, lambda x: x.cast("double") + 0.12)
+
+
+@query("C23_assigned_chunks", _walk_sql(_TURN_ROWS % (_SHIFTED, "WHERE conv_id % 3 <> 0"), 1800) + """, sessions AS (SELECT grp AS conv_id, item AS turn, session FROM walk UNION ALL SELECT conv_id, turn, 0 FROM {turns} JOIN {embeddings} ON (conv_id * 7 + turn // 2) % 500 = vec_id WHERE conv_id % 3 = 0),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4 AS chunk FROM sessions),
+slices AS (SELECT conv_id, chunk, session, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS turns FROM placed GROUP BY 1, 2, 3)
+SELECT conv_id, chunk, session, first_turn, last_turn, turns, min(session) OVER (PARTITION BY conv_id, chunk) AS owner FROM slices""")
+def assigned_chunks(role):
+    """Chunks of four turns, cut where sessions by time and meaning cut them; conversations that name their session keep it."""
+    rows = role("turns").join(role("embeddings").select(F.col("vec_id").alias("v"), _alike("embedding").alias("embedding")), F.pmod(F.col("conv_id") * 7 + F.floor(F.col("turn") / 2), F.lit(500)) == F.col("v"))
+    return S.assigned_chunks(rows.select("conv_id", "turn", F.col("secs").cast("double").alias("at"), "embedding"), 4, explicit=F.col("conv_id") % 3 == 0)
+
+
+@query("C24_semantic_plan", _walk_sql(f"SELECT owner AS grp, row_number() OVER (PARTITION BY owner ORDER BY id) AS k, id AS item, CAST(created_at AS DOUBLE) AS secs_at, {_SHIFTED} AS v FROM {{claims}} WHERE NOT pinned", 86400) + """, sized AS (SELECT grp, session, count(*) AS n FROM walk GROUP BY 1, 2)
+SELECT grp AS owner, CAST(sum(n) AS BIGINT) AS atomic, count(*) FILTER (n > 1) AS multi_sessions, count(*) FILTER (n = 1) AS singletons, CAST(max(n) AS BIGINT) AS largest FROM sized GROUP BY 1""")
+def semantic_plan(role):
+    """What crystals are to be made anew of each owner's atomic facts: sessions by time and meaning, in order of time."""
+    atomic = role("claims").filter("NOT pinned").select("owner", "id", F.col("created_at").cast("double").alias("at"), _alike("embedding").alias("embedding"))
+    sized = S.semantic_sessions(atomic, gap=86_400.0, key="owner", order="id").groupBy("owner", "session").agg(F.count("*").alias("n"))
+    return sized.groupBy("owner").agg(F.sum("n").alias("atomic"), F.count_if(F.col("n") > 1).alias("multi_sessions"), F.count_if(F.col("n") == 1).alias("singletons"), F.max("n").alias("largest"))
+
+
 @query("C24_recrystallise_plan", """
 WITH g AS (SELECT *, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) > 43200 AS opens FROM {events} WHERE event_type <> 'purchase'),
 s AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
