@@ -27,6 +27,29 @@ def keyset_page(facts: DataFrame, limit: int, cursor: tuple | None = None, *, us
     return rows.withColumn("has_more", F.max("place").over(per) > limit).filter(F.col("place") <= limit)
 
 
+def keyset_pages(facts: DataFrame, asked: DataFrame, limit: int, *, user_col: str = "user_id") -> DataFrame:
+    """A page of each request: user, request columns, page (array<struct<id, created_at>>, newest first), next_cursor, has_more, total_count.
+
+    asked: user and cursor, the id of the last fact of the page before; null asks for the first page. total_count is the number of the
+    user's active facts, whatever the page. A cursor that isn't an active fact of that user gives an empty page. One
+    fact more than asked for is looked at, as a request by itself would; a user's facts are never one task's list.
+    """
+    active = facts.filter("is_active").select(user_col, "id", "created_at")
+    totals = active.groupBy(user_col).agg(F.count("*").alias("total_count"))
+    at = active.select(F.col(user_col), F.col("id").alias("cursor"), F.col("created_at").alias("cursor_at"))
+    requests = asked.select(user_col, "cursor").distinct().join(at, [user_col, "cursor"], "left")
+    usable = requests.filter("cursor IS NULL OR cursor_at IS NOT NULL")
+    after = F.col("cursor").isNull() | (F.col("created_at") < F.col("cursor_at")) | ((F.col("created_at") == F.col("cursor_at")) & (F.col("id") < F.col("cursor")))
+    per = W.partitionBy(user_col, "cursor").orderBy(F.desc("created_at"), F.desc("id"))
+    rows = usable.join(active, user_col).filter(after).withColumn("place", F.row_number().over(per)).filter(F.col("place") <= limit + 1)
+    one = F.struct("place", "id", "created_at")
+    pages = rows.groupBy(user_col, "cursor").agg(F.sort_array(F.collect_list(F.when(F.col("place") <= limit, one))).alias("listed"), (F.max("place") > limit).alias("has_more"))
+    found = requests.select(user_col, "cursor").join(pages.withColumnsRenamed({user_col: "page_user", "cursor": "page_cursor"}), F.col(user_col).eqNullSafe(F.col("page_user")) & F.col("cursor").eqNullSafe(F.col("page_cursor")), "left").join(totals, user_col, "left")
+    page = F.transform(F.coalesce("listed", F.array().cast(pages.schema["listed"].dataType)), lambda x: F.struct(x["id"].alias("id"), x["created_at"].alias("created_at")))
+    more = F.coalesce("has_more", F.lit(False))
+    return found.select(user_col, "cursor", page.alias("page"), more.alias("has_more"), F.when(more, F.get("listed", F.size("listed") - 1)["id"]).alias("next_cursor"), F.coalesce("total_count", F.lit(0)).cast("long").alias("total_count"))
+
+
 def delta(facts: DataFrame, since: int, limit: int, *, user_col: str = "user_id") -> DataFrame:
     """Rows after a sequence number, by sequence with those that have none last; since 0 asks for all."""
     rows = facts if since == 0 else facts.filter(F.col("sequence_id") > since)

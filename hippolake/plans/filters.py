@@ -107,10 +107,18 @@ def heuristic_extraction(role):
     return rows.filter(F.length(text) > 10).select("id", "rule", "type", "importance", F.substring(text, 1, 512).alias("text"))
 
 
-@query("F20_self_directive", "SELECT id, contains(lower(text), 'i want') AND contains(lower(text), 'memory') AS directive FROM (" + _SAID_SQL + ")")
+#: Beginnings of wishes, and what they are about when they are about this engine itself.
+WISHES, OWN_NAMES = ("i want", "i'll always"), ("memory", "recall tool")
+
+
+def _any_of_sql(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join("contains(lower(text), '%s')" % w.replace("'", "''") for w in words) + ")"
+
+
+@query("F20_self_directive", f"SELECT id, {_any_of_sql(WISHES)} AND {_any_of_sql(OWN_NAMES)} AS directive FROM (" + _SAID_SQL + ")")
 def self_directive(role):
     any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("text"), w))
-    return _said(role).select("id", (any_of(["i want", "i'll always"]) & any_of(["memory", "recall tool"])).alias("directive"))
+    return _said(role).select("id", (any_of(WISHES) & any_of(OWN_NAMES)).alias("directive"))
 
 
 @query("F1_active_decay", "SELECT id, user_id FROM {stored} WHERE is_active AND decay_score >= 0.3")

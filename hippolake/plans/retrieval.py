@@ -202,15 +202,20 @@ def weighted_rrf(role):
     return R.top_k(fused_, KEEP).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_INTENT_SQL = """CASE WHEN regexp_matches(text, '(?i)\\b(yesterday|today|last\\s+week|last\\s+month|recently|recent|latest|ago|when|this\\s+week|this\\s+month|earlier|before|after|since|during|tonight|morning|afternoon)\\b') THEN 'temporal'
- WHEN regexp_matches(text, '(?i)^(what|who|where|which|how\\s+many|how\\s+much|is\\s+|are\\s+|does\\s+|do\\s+|did\\s+|was\\s+|were\\s+)\\b') AND length(text) < 80 THEN 'factual' ELSE 'semantic' END"""
-
 # The expressions of a query's intent, and the weights of the four signals for each.
 TEMPORAL = r"(?i)\b(yesterday|today|last\s+week|last\s+month|recently|recent|latest|ago|when|this\s+week|this\s+month|earlier|before|after|since|during|tonight|morning|afternoon)\b"
 FACTUAL = r"(?i)^(what|who|where|which|how\s+many|how\s+much|is\s+|are\s+|does\s+|do\s+|did\s+|was\s+|were\s+)\b"
 INTENT_WEIGHTS = {"factual": (0.40, 0.20, 0.25, 0.15), "temporal": (0.15, 0.20, 0.20, 0.45), "semantic": (0.20, 0.35, 0.25, 0.20)}
 SIGNALS = ("bm25", "cosine", "importance", "recency")
 
+_INTENT_SQL = f"CASE WHEN regexp_matches(text, '{TEMPORAL}') THEN 'temporal' WHEN regexp_matches(text, '{FACTUAL}') AND length(text) < 80 THEN 'factual' ELSE 'semantic' END"
+
+
+def _weight_sql(signal: str) -> str:
+    at = SIGNALS.index(signal)
+    return "(CASE intent " + " ".join(f"WHEN '{kind}' THEN {weights[at]}" for kind, weights in INTENT_WEIGHTS.items()) + " END)"
+
+
 
 def intent(text):
     return F.when(text.rlike(TEMPORAL), "temporal").when(text.rlike(FACTUAL) & (F.length(text) < 80), "factual").otherwise("semantic")
@@ -234,8 +239,7 @@ lists AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25
     CASE WHEN fe IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, fe IS NULL ORDER BY round(cosine, 12) DESC, id) END AS pc,
     row_number() OVER (PARTITION BY query_id ORDER BY round(importance, 12) DESC, id) AS pi, row_number() OVER (PARTITION BY query_id ORDER BY round(recency, 12) DESC, id) AS pr FROM recent),
 fused AS (SELECT query_id, id, fe,
-    (CASE intent WHEN 'factual' THEN 0.40 WHEN 'temporal' THEN 0.15 ELSE 0.20 END) / (60 + pb) + coalesce((CASE intent WHEN 'semantic' THEN 0.35 ELSE 0.20 END) / (60 + pc), 0)
-    + (CASE intent WHEN 'temporal' THEN 0.20 ELSE 0.25 END) / (60 + pi) + (CASE intent WHEN 'factual' THEN 0.15 WHEN 'temporal' THEN 0.45 ELSE 0.20 END) / (60 + pr) AS score FROM lists),
+    {_weight_sql("bm25")} / (60 + pb) + coalesce({_weight_sql("cosine")} / (60 + pc), 0) + {_weight_sql("importance")} / (60 + pi) + {_weight_sql("recency")} / (60 + pr) AS score FROM lists),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS k FROM fused)
 """
 
@@ -259,7 +263,17 @@ def four_signal(role):
     return R.top_k(four_signals(role), 20).select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("H11_mmr")
+_MMR_SQL = "WITH RECURSIVE " + _FOUR_SQL.strip().removeprefix("WITH ") + """,
+ranked AS (SELECT query_id, id, CAST(k - 1 AS DOUBLE) AS pos, CAST(fe AS DOUBLE[]) AS v, count(*) OVER (PARTITION BY query_id) AS m FROM best WHERE k <= 100),
+walk AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS ids, CAST([] AS DOUBLE[][]) AS vs FROM ranked
+  UNION ALL SELECT query_id, n + 1, list_append(any_value(ids), first(id ORDER BY gain DESC, pos)), list_append(any_value(vs), first(v ORDER BY gain DESC, pos)) FROM (
+    SELECT w.query_id, w.n, w.ids, w.vs, r.id, r.pos, r.v, 0.7 * (1 - r.pos / r.m) - 0.3 * coalesce(list_max(list_transform(w.vs, lambda p: CASE WHEN p IS NULL OR r.v IS NULL OR len(p) <> len(r.v) THEN 0.0
+      ELSE greatest(0.0, list_dot_product(p, r.v) / (sqrt(list_dot_product(p, p)) * sqrt(list_dot_product(r.v, r.v)))) END)), 0.0) AS gain
+    FROM walk w JOIN ranked r ON r.query_id = w.query_id AND NOT list_contains(w.ids, r.id) WHERE w.n < 8) GROUP BY query_id, n)
+SELECT query_id, ids[n] AS id, n AS pick FROM walk WHERE n >= 1"""
+
+
+@query("H11_mmr", _MMR_SQL)
 def mmr(role):
     ranked = R.top_k(four_signals(role), 100).withColumn("position", F.col("rank")).join(role("facts").select("id", "embedding"), "id")
     return R.mmr(ranked.select("query_id", "id", "position", "embedding"))

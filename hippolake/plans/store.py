@@ -28,6 +28,24 @@ def keyset_page(role):
     return S.keyset_page(role("stored"), 3, ("1998-01-01 00:00:00", 5000)).select("user_id", "id", "created_at", "place", "has_more")
 
 
+@query("S2_keyset_requests", """
+WITH active AS (SELECT * FROM {stored} WHERE is_active), asked AS (SELECT DISTINCT c_custkey AS user_id, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE latest END AS cursor
+  FROM {customer} JOIN (SELECT user_id, CASE WHEN user_id % 3 = 1 THEN max(id) ELSE min(id) + 1 END AS latest FROM {stored} GROUP BY 1) ON user_id = c_custkey),
+known AS (SELECT a.*, f.created_at AS cursor_at FROM asked a LEFT JOIN active f ON f.id = a.cursor AND f.user_id = a.user_id),
+rows AS (SELECT k.user_id, k.cursor, f.id, f.created_at, row_number() OVER (PARTITION BY k.user_id ORDER BY f.created_at DESC, f.id DESC) AS place FROM known k JOIN active f ON f.user_id = k.user_id
+  WHERE k.cursor IS NULL OR f.created_at < k.cursor_at OR (f.created_at = k.cursor_at AND f.id < k.cursor)),
+pages AS (SELECT user_id, string_agg(id, ',' ORDER BY place) FILTER (place <= 3) AS page, max(place) > 3 AS has_more, max(id) FILTER (place = 3) AS last FROM rows WHERE place <= 4 GROUP BY 1)
+SELECT a.user_id, a.cursor, coalesce(page, '') AS page, coalesce(has_more, false) AS has_more, CASE WHEN has_more THEN last END AS next_cursor, (SELECT count(*) FROM active f WHERE f.user_id = a.user_id) AS total_count FROM asked a LEFT JOIN pages p USING (user_id)""")
+def keyset_requests(role):
+    """A page of three for every customer: the first one, one after a known fact, or one after a cursor that may be nobody's."""
+    stored = role("stored")
+    edges = stored.groupBy("user_id").agg(F.max("id").alias("latest"), F.min("id").alias("earliest"))
+    cursor = F.when(F.col("user_id") % 3 == 1, F.col("latest")).when(F.col("user_id") % 3 == 2, F.col("earliest") + 1)
+    asked = role("customer").select(F.col("c_custkey").alias("user_id")).join(edges, "user_id").select("user_id", cursor.alias("cursor"))
+    pages = S.keyset_pages(stored, asked, 3)
+    return pages.select("user_id", "cursor", F.array_join(F.transform("page", lambda x: x["id"].cast("string")), ",").alias("page"), "has_more", "next_cursor", "total_count")
+
+
 @query("S3_offset_page", "SELECT id, user_id, created_at FROM {stored} WHERE is_active ORDER BY created_at DESC, id LIMIT 1000 OFFSET 2000")
 def offset_page(role):
     return role("stored").filter("is_active").orderBy(F.desc("created_at"), "id").offset(2000).limit(1000).select("id", "user_id", "created_at")
