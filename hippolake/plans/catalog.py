@@ -30,12 +30,14 @@ def query(name: str, sql: str | None = None):
 #: Views that give the standard tables the parts of a memory store. Each is SQL that both engines read;
 #: names in braces are tables or other views.
 ROLES = {
-    "facts": """
+    # Facts without vectors are a view by themselves: a join that brings nothing more would still move every text.
+    "fact_rows": """
         SELECT d.doc_id AS id, d.text, d.lang, d.n_chars, d.doc_id % 7 AS owner,
                CASE CAST(replace(d.source, 'src', '') AS INT) % 5 WHEN 0 THEN 'user' WHEN 1 THEN 'user-inferred' WHEN 2 THEN 'assistant' WHEN 3 THEN 'external' ELSE 'derived' END AS source,
                CAST(d.n_chars % 1000 AS DOUBLE) / 1000 AS decay_score, CAST(d.doc_id % 10 + 1 AS DOUBLE) / 10 AS importance,
-               1700000000 + d.doc_id * 3600 AS created_at, e.embedding, e.label
-        FROM {documents} d LEFT JOIN {embeddings} e ON d.doc_id = e.vec_id""",
+               1700000000 + d.doc_id * 3600 AS created_at
+        FROM {documents} d""",
+    "facts": "SELECT f.*, e.embedding, e.label FROM {fact_rows} f LEFT JOIN {embeddings} e ON f.id = e.vec_id",
     "asked": "SELECT b.item_id AS query_id, b.text, e.embedding FROM {benchmark} b LEFT JOIN {embeddings} e ON b.item_id = e.vec_id",
     "stored": """
         SELECT o_orderkey AS id, o_custkey AS user_id, o_totalprice AS price, o_orderdate AS created_at, o_orderpriority AS source,
@@ -67,7 +69,10 @@ def role(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
 
 def with_roles(sql: str) -> str:
     """sql with the views it names put before it."""
-    needed = [v for v in ROLES if "{" + v + "}" in sql]
+    needed: list[str] = []
+    for view in reversed(ROLES):  # a view names only views before it
+        if any("{" + view + "}" in text for text in (sql, *(ROLES[n] for n in needed))):
+            needed.insert(0, view)
     plain = lambda s: s.format(**{n: n for n in (*TABLES, *ROLES)})
     views = [f"{v} AS ({plain(ROLES[v])})" for v in needed]
     for name in (*TABLES, *ROLES):

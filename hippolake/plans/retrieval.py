@@ -81,13 +81,13 @@ def _tokens(df: DataFrame, key: str, tokens=T.tokens) -> DataFrame:
 
 def searched(role, most: int = POOL) -> tuple[R.Postings, DataFrame]:
     """The postings that the queries reach, and each query's pool, written down."""
-    index = R.postings_for(role("facts").select("id", "text"), role("asked").select("query_id", "text"))
-    return index, materialize(R.overlap_search(index, role("facts"), most=most), "pool")
+    index = R.postings_for(role("fact_rows").select("id", "text"), role("asked").select("query_id", "text"))
+    return index, materialize(R.overlap_search(index, role("fact_rows"), most=most), "pool")
 
 
 def pool(role, most: int = POOL) -> DataFrame:
-    index = R.postings_for(role("facts").select("id", "text"), role("asked").select("query_id", "text"))
-    return R.overlap_search(index, role("facts"), most=most)
+    index = R.postings_for(role("fact_rows").select("id", "text"), role("asked").select("query_id", "text"))
+    return R.overlap_search(index, role("fact_rows"), most=most)
 
 
 def ranked_by_words(role, variant: str = "core") -> DataFrame:
@@ -98,8 +98,13 @@ def ranked_by_words(role, variant: str = "core") -> DataFrame:
 def scored(role, variant: str = "core") -> DataFrame:
     """The pool with bm25 and cosine, and the facts' columns that fusion reads, written down."""
     facts, asked = role("facts"), role("asked")
-    with_facts = ranked_by_words(role, variant).join(facts.select("id", "source", "decay_score", "importance", "created_at"), "id")
-    return materialize(R.with_cosine(with_facts, asked, facts), "scored")
+    with_facts = ranked_by_words(role, variant).join(role("fact_rows").select("id", "source", "decay_score", "importance", "created_at"), "id")
+    return materialize(R.with_cosine(with_facts, asked, _vectors(role)), "scored")
+
+
+def _vectors(role) -> DataFrame:
+    """The facts' vectors, without their texts."""
+    return role("embeddings").select(F.col("vec_id").alias("id"), "embedding").filter("embedding IS NOT NULL")
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -129,7 +134,7 @@ pages AS (SELECT query_id, spot, coalesce(sum(count(*)) OVER (PARTITION BY query
 SELECT s.query_id, s.id, CAST(CASE WHEN spot < 0 THEN 0 ELSE n END AS BIGINT) AS seen FROM seen s JOIN pages p USING (query_id, spot) WHERE spot < 0 OR before < %(most)d""" % {"tokens": _TOKENS, "stems": stems_sql("vocab"), "chunk": CHUNK, "page": PAGE, "most": MOST})
 def paged_search(role):
     trapdoors = R.trapdoors(role("asked").select("query_id", "text"), id_col="query_id")
-    return R.paged_search(R.blind_postings(role("facts").select("id", "text")), trapdoors, chunk=CHUNK, page=PAGE, most=MOST)
+    return R.paged_search(R.blind_postings(role("fact_rows").select("id", "text")), trapdoors, chunk=CHUNK, page=PAGE, most=MOST)
 
 
 @query("J3_broadened", POOL_SQL + """, recent AS (SELECT id, owner, row_number() OVER (PARTITION BY owner ORDER BY created_at DESC, id) AS r FROM {facts} WHERE decay_score >= 0.3)
@@ -137,7 +142,7 @@ SELECT query_id, id, min(origin) AS origin FROM (SELECT query_id, id, 0 AS origi
 def broadened(role):
     # The pool, and the newest active facts of the one who asks: an owner's queries meet its facts only.
     newest = F.row_number().over(W.partitionBy("owner").orderBy(F.desc("created_at"), "id"))
-    recent = role("facts").filter("decay_score >= 0.3").withColumn("r", newest).filter("r <= 1000").select("owner", "id")
+    recent = role("fact_rows").filter("decay_score >= 0.3").withColumn("r", newest).filter("r <= 1000").select("owner", "id")
     own = role("asked").select("query_id", (F.col("query_id") % 7).alias("owner")).join(recent, "owner").select("query_id", "id")
     return R.union_first_seen(pool(role).select("query_id", "id"), own, ["query_id", "id"])
 
@@ -177,7 +182,7 @@ def bm25_quick(role):
 
 @query("H4_cosine", CORE_SQL + COSINE_SQL + "SELECT query_id, id, round(cosine, 6) AS cosine FROM cos")
 def cosine(role):
-    return R.with_cosine(pool(role).select("query_id", "id"), role("asked"), role("facts")).withColumn("cosine", F.round("cosine", 6))
+    return R.with_cosine(pool(role).select("query_id", "id"), role("asked"), _vectors(role)).withColumn("cosine", F.round("cosine", 6))
 
 
 @query("H7_fused_rerank", CORE_SQL + COSINE_SQL + fused_sql(False))
@@ -246,7 +251,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score
 
 def four_signals(role) -> DataFrame:
     facts, asked = role("facts"), role("asked")
-    rows = scored(role, "okapi").join(asked.select("query_id", intent(F.col("text")).alias("intent")), "query_id").join(facts.select("id", F.col("embedding").isNotNull().alias("embedded")), "id")
+    rows = scored(role, "okapi").join(asked.select("query_id", intent(F.col("text")).alias("intent")), "query_id").join(_vectors(role).select("id", F.lit(True).alias("embedded")), "id", "left").withColumn("embedded", F.coalesce("embedded", F.lit(False)))
     rows = rows.withColumn("recency", F.when(F.col("created_at").isNull(), 0.5).otherwise(1 / (1 + (F.lit(_NOW) - F.col("created_at")) / 3600.0 / 168)))
     score = F.lit(0.0)
     for i, signal in enumerate(SIGNALS):
@@ -326,7 +331,7 @@ def expansion_merge(role):
 
 @query("F12_relevance_gate", CORE_SQL + COSINE_SQL + "SELECT query_id, max(cosine) >= 0.15 AS relevant FROM cos GROUP BY 1")
 def relevance_gate(role):
-    rows = R.with_cosine(pool(role).select("query_id", "id"), role("asked"), role("facts"))
+    rows = R.with_cosine(pool(role).select("query_id", "id"), role("asked"), _vectors(role))
     return rows.groupBy("query_id").agg((F.max("cosine") >= 0.15).alias("relevant"))
 
 
