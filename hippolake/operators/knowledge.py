@@ -48,10 +48,11 @@ def shared_entities(claims: DataFrame, low: float, high: float, *, id_col: str =
     several entities find is put together. Claims without entities, or without a vector, are in no pair.
     """
     named = claims.select(F.col(id_col).alias("id"), "embedding", F.posexplode(entities_col).alias("place", "name")).withColumn("entity_id", entity_id(F.col("name")))
-    once = materialize(named.filter("name IS NOT NULL").groupBy("id", "entity_id").agg(F.min("place").alias("place"), F.first("embedding").alias("embedding")), "entities")
-    met = band(block_pairs(once, "entity_id", low), low, high)
-    places = once.select(F.col("id").alias("b"), "entity_id", "place")
-    return met.join(places, ["b", "entity_id"]).groupBy("a", "b").agg(F.min_by("entity_id", "place").alias("entity_id"), F.count("*").alias("n_shared"), F.first("cosine").alias("cosine"))
+    listed = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("place", "entity_id"))), lambda x: x["entity_id"]))
+    once = named.filter("name IS NOT NULL").groupBy("id").agg(listed.alias("entities"), F.first("embedding").alias("embedding"))
+    stands = materialize(once.select("id", "embedding", "entities", F.explode("entities").alias("entity_id")), "entities")
+    met = cosine_pairs(stands, low, id_col="id", vector_col="embedding", block="entity_id", blocks="entities")
+    return band(met, low, high).select("a", "b", "entity_id", "n_shared", "cosine")
 
 
 def first_come(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
