@@ -49,13 +49,16 @@ def nearest_ranks(asked: dict[str, tuple[str, float]]) -> list[Column]:
     return [F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})").alias(name) for name, (column, share) in asked.items()]
 
 
-def retrieval_quality(ranked: DataFrame, relevant: DataFrame, k: int, *, query: str = "query_id", item: str = "id", category: str = "category") -> DataFrame:
+def retrieval_quality(ranked: DataFrame, relevant: DataFrame, k: int, *, query: str = "query_id", item: str = "id", category: str = "category", tasks: int | None = None) -> DataFrame:
     """recall@k, precision@k and MRR by category and over all (category null), with the nearest-rank median and 95th percentile of recall and the median of reciprocal ranks.
 
     ranked has `rank`, relevant the category too. A nearest rank is the smallest value that so large a share of the queries don't exceed.
+    tasks: over how many rows are dealt where they meet, if not over as many as the session says.
     """
+    dealt = lambda df, *keys: df.repartition(tasks, *keys) if tasks else df
+    relevant = dealt(relevant.select(query, item, category), query, item)
     expected = relevant.groupBy(query, category).agg(F.count("*").alias("expected"))
-    hits = ranked.filter(F.col("rank") <= k).join(relevant.select(query, item), [query, item], "left_semi")
+    hits = dealt(ranked.filter(F.col("rank") <= k).select(query, item, "rank"), query, item).join(relevant.select(query, item), [query, item], "left_semi")
     found = hits.groupBy(query).agg(F.count("*").alias("found"), F.min("rank").alias("first"))
-    per = expected.join(found, query, "left").select(category, (F.coalesce("found", F.lit(0)) / F.col("expected")).alias("recall"), (F.coalesce("found", F.lit(0)) / k).alias("precision"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
+    per = dealt(expected, query).join(dealt(found, query), query, "left").select(category, (F.coalesce("found", F.lit(0)) / F.col("expected")).alias("recall"), (F.coalesce("found", F.lit(0)) / k).alias("precision"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"))
     return per.rollup(category).agg(F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), F.avg("rr").alias("mrr"), F.count("*").alias("queries"), *nearest_ranks({"recall_p50": ("recall", 0.5), "recall_p95": ("recall", 0.95), "rr_p50": ("rr", 0.5)}))

@@ -149,6 +149,10 @@ def zero_fact_reasons(role):
     return role("conversations").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+#: Items that a task is dealt.
+TASK_ITEMS = 250_000
+
+
 @query("A16_retrieval_quality", """
 WITH ranked AS (SELECT l_orderkey AS query_id, l_partkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_linenumber) AS rank FROM {lineitem}),
 rel AS (SELECT DISTINCT l_orderkey AS query_id, l_partkey AS id, o_orderpriority AS category FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_quantity > 30),
@@ -158,9 +162,13 @@ per AS (SELECT category, coalesce(found, 0) / expected AS recall, coalesce(found
 SELECT category, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(rr), 6) AS mrr, count(*) AS queries, round(quantile_disc(recall, 0.5), 6) AS recall_p50, round(quantile_disc(recall, 0.95), 6) AS recall_p95, round(quantile_disc(rr, 0.5), 6) AS rr_p50 FROM per GROUP BY ROLLUP (category)""")
 def retrieval_quality(role):
     items = role("lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id"), "l_extendedprice", "l_linenumber", "l_quantity")
-    ranked = items.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("l_extendedprice"), "id", "l_linenumber")))
-    relevant = items.filter("l_quantity > 30").join(role("orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("category")), "query_id").select("query_id", "id", "category").distinct()
-    out = M.retrieval_quality(ranked, relevant, 8)
+    # A task's share is bounded, whatever the session's number of partitions.
+    tasks = max(items.sparkSession.sparkContext.defaultParallelism, -(-role("lineitem").count() // TASK_ITEMS))
+    dealt = items.drop("l_quantity").repartition(tasks, "query_id")
+    ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("l_extendedprice"), "id", "l_linenumber")))
+    orders = role("orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderpriority").alias("category")).repartition(tasks, "query_id")
+    relevant = items.filter("l_quantity > 30").select("query_id", "id").repartition(tasks, "query_id").join(orders, "query_id").select("query_id", "id", "category").distinct()
+    out = M.retrieval_quality(ranked, relevant, 8, tasks=tasks)
     return out.select("category", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr", "recall_p50", "recall_p95", "rr_p50")], "queries")
 
 
