@@ -92,13 +92,13 @@ def fact_preparation(role):
     docs = role("documents")
     decay = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("doc_id") % 14).cast("double") / 10))
     sizes = R.index_sizes(docs, id_col="doc_id").withColumnRenamed("doc_id", "id")
-    buckets = L.bucket_hashes(L.signature(F.col("embedding"), LSH_SECRET, LSH_DIMS))
-    vectors = role("embeddings").select(F.col("vec_id").alias("id"), buckets.alias("buckets"))
+    # A vector's buckets are counted and digested before they are joined.
+    signed = role("embeddings").select(F.col("vec_id").alias("id"), L.signature(F.col("embedding"), LSH_SECRET, LSH_DIMS).alias("signed")).filter("signed IS NOT NULL")
+    vectors = signed.select("id", F.size("signed").alias("n_buckets"), F.sha2(F.array_join(L.bucket_hashes(F.col("signed")), ","), 256).alias("buckets_digest"))
     made = docs.select(F.col("doc_id").alias("id"), decay.alias("decay_score"), T.fingerprint(F.col("text"), DEDUP_KEY).alias("digest"))
     joined = made.join(sizes, "id", "left").join(vectors, "id", "left")
-    some = F.size("buckets") > 0
-    count = F.coalesce("n", F.lit(0)) + F.when(some, F.size("buckets")).otherwise(0)
-    return joined.select("id", "decay_score", count.cast("long").alias("n_indices"), F.when(some, F.sha2(F.array_join("buckets", ","), 256)).alias("buckets_digest"), "digest")
+    count = F.coalesce("n", F.lit(0)) + F.coalesce("n_buckets", F.lit(0))
+    return joined.select("id", "decay_score", count.cast("long").alias("n_indices"), "buckets_digest", "digest")
 
 
 @query("W3_log_replay", """
