@@ -121,8 +121,11 @@ def _known(universe: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.nd
     return places, (universe[places] == numbers) if len(universe) else np.zeros(len(numbers), bool)
 
 
-def holders(part: Part, new: pa.RecordBatch | pa.Table, least: float, most: int) -> tuple[np.ndarray, ...]:
-    """new_id, old_id, shared, size: new sets that hold more than `least` of a stored one with a smaller id; where they are many, each new set's `most` best."""
+def holders(part: Part, new: pa.RecordBatch | pa.Table, least: float, most: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """row of new, old_id, shared, size: new sets that hold more than `least` of a stored one with a smaller id; where they are many, each new set's `most` best.
+
+    floor: the share of each new set beyond which alone a stored one counts, since `most` others with smaller ids have as much.
+    """
     ids, n = new["id"].to_numpy(zero_copy_only=False) if isinstance(new, pa.RecordBatch) else new["id"].to_numpy(), len(new)
     (elements, rows), (words, of_words) = _flat(new["hashes"]), _flat(new["words"])
     rows, of_words, weights = rows.astype(np.int64), of_words.astype(np.int64), _flat(new["weights"])[0]
@@ -135,6 +138,7 @@ def holders(part: Part, new: pa.RecordBatch | pa.Table, least: float, most: int)
     # If this is the first element that both have, no more can be shared than the new set's weight from here on.
     starts = part.starts[places]
     lengths = np.searchsorted(part.keys, (places << BOUND_BITS) | np.minimum(rest, MOST_BOUND), side="right") - starts
+    lengths[earlier[rows] == 0] = 0
     met = np.cumsum(np.bincount(rows, lengths, n).astype(np.int64))
     owned = np.concatenate([rows * len(part.universe) + places, of_words[word_known] * len(part.universe) + word_places[word_known]])
     owned.sort()
@@ -164,9 +168,12 @@ def holders(part: Part, new: pa.RecordBatch | pa.Table, least: float, most: int)
         kept = missing <= part.lacking.take(b)
         pairs, at = np.unique(a[kept] * len(part.ids) + b[kept], return_index=True)
         a, b, missing = pairs // len(part.ids), pairs % len(part.ids), missing[kept][at].astype(np.int64)
-        if len(pairs) > FEW_PAIRS:
+        bound = (part.sizes[b] - np.maximum(missing, 2 * missing - part.light[b])) / np.maximum(part.sizes[b], 1)
+        if floor is not None:
+            kept = bound > floor[a]
+            a, b, bound = a[kept], b[kept], bound[kept]
+        if len(a) > FEW_PAIRS:
             # Those that can share most come first; the others are counted where they can still be among the best.
-            bound = (part.sizes[b] - np.maximum(missing, 2 * missing - part.light[b])) / np.maximum(part.sizes[b], 1)
             order = np.lexsort((b, -bound, a))
             a, b, bound = a[order], b[order], bound[order]
             early = np.arange(len(a)) - np.searchsorted(a, a) < 2 * most
@@ -183,7 +190,7 @@ def holders(part: Part, new: pa.RecordBatch | pa.Table, least: float, most: int)
             found = [_best(part, *(np.concatenate(x) for x in zip(*found, strict=True)), most)]
             n_found = len(found[0][0])
     a, b, shared = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-    return ids[a], part.ids[b], shared, part.sizes[b]
+    return a, part.ids[b], shared, part.sizes[b]
 
 
 def _best(part: Part, a: np.ndarray, b: np.ndarray, shared: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
@@ -194,12 +201,42 @@ def _best(part: Part, a: np.ndarray, b: np.ndarray, shared: np.ndarray, most: in
     return a[kept], b[kept], shared[kept]
 
 
+def _merged(part: Part, new: pa.RecordBatch, least: float, most: int) -> tuple[np.ndarray, ...]:
+    """row, old_id, shared, size: what new sets bring with them from earlier parts (if they do), and what they have in this one."""
+    if "olds" not in new.schema.names:
+        return holders(part, new, least, most)
+    (olds, rows), shared, sizes = _flat(new["olds"]), _flat(new["shared"])[0], _flat(new["sizes"])[0]
+    share = shared / np.maximum(sizes, 1)
+    full, floor = np.bincount(rows, minlength=len(new)) >= most, np.ones(len(new))
+    np.minimum.at(floor, rows, share)
+    found = holders(part, new, least, most, np.where(full, floor, -1.0))
+    rows, olds, shared, sizes = (np.concatenate(x) for x in zip((rows, olds, shared, sizes), found, strict=True))
+    order = np.lexsort((olds, -(shared / np.maximum(sizes, 1)), rows))
+    rows, olds, shared, sizes = rows[order], olds[order], shared[order], sizes[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < most
+    return rows[kept], olds[kept], shared[kept], sizes[kept]
+
+
 def meeting(part, least: float, most: int):
-    """What mapInArrow calls with sets (id, hashes, weights, words). part: the broadcast Part."""
+    """What mapInArrow calls with sets (id, hashes, weights, words[, olds, shared, sizes]): (new_id, old_id, shared, size). part: the broadcast Part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, *columns = _merged(part.value, batch, least, most)
+            ids = batch["id"].to_numpy(zero_copy_only=False)[row]
+            yield pa.RecordBatch.from_pydict(dict(zip(("new_id", "old_id", "shared", "size"), (pa.array(c, pa.int64()) for c in (ids, *columns)), strict=True)))
+
+    return run
+
+
+def carrying(part, least: float, most: int):
+    """What mapInArrow calls with sets (id, hashes, weights, words, olds, shared, sizes): the same sets with the `most` best that they have had so far. part: the broadcast Part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = holders(part.value, batch, least, most)
-            yield pa.RecordBatch.from_pydict(dict(zip(("new_id", "old_id", "shared", "size"), (pa.array(c, pa.int64()) for c in columns), strict=True)))
+            row, *columns = _merged(part.value, batch, least, most)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c, pa.int64())) for c in columns]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("id", "hashes", "weights", "words")), *lists], ["id", "hashes", "weights", "words", "olds", "shared", "sizes"])
 
     return run
